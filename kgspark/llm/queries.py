@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import bpe
+from kgspark.llm import bpe, lm_scoring, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_deleted_interpolation": lm_scoring.op2_deleted_interpolation,
+        "op8_packing_min_slack": packing.op8_packing_min_slack,
         "op10_bpe_trie": bpe.op10_bpe_trie,
     }
 

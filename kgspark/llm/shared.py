@@ -6,10 +6,14 @@ cuts at exactly those.  A null text is handled as an empty one everywhere.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -20,7 +24,22 @@ from pyspark.sql import functions as F
 WORD_CACHE = 400_000
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers once a session, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_kgspark_shipped", None) is None:
+        folder, top = tempfile.mkdtemp(prefix="kgspark-"), Path(__file__).resolve().parents[2]
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it lives
+        with zipfile.ZipFile(f"{folder}/kgspark-package.zip", "w") as z:
+            for path in sorted((top / "kgspark").rglob("*.py")):
+                z.write(path, path.relative_to(top))
+        context.addPyFile(f"{folder}/kgspark-package.zip")
+        context._kgspark_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
