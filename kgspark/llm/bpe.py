@@ -24,7 +24,7 @@ from kgspark.llm.shared import table, text_pieces
 
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Distinct pre-tokens a worker remembers, and characters it takes up at once: memory bounds only.
-CACHE, BLOCK = 300_000, 2_000_000
+CACHE, BLOCK = 600_000, 2_000_000
 NEVER = 1 << 60
 
 
@@ -60,7 +60,8 @@ class ByteBpe:
             left, right, made = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank[left, right] = rank
             self.parts.setdefault(made, (left, right, rank))
-        self.longest = max(map(len, self.ids))
+        # Every prefix of a token, with its id if it is one itself and -1 if not.
+        self.prefixes = {word[:n]: -1 for word in self.ids for n in range(1, len(word))} | self.ids
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
@@ -68,7 +69,8 @@ class ByteBpe:
         self.right_edge: dict[int, list[tuple[int, int]]] = {}
         self.left_edge: dict[int, list[tuple[int, int]]] = {}
         self.encoded: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        #: What a pre-token's ids decode to, where that is not the pre-token itself.
+        self.altered: dict[str, bytes] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at one border while the token is built, each with the rank of the merge that takes it up."""
@@ -117,27 +119,46 @@ class ByteBpe:
         return ids
 
     def learn(self, words: set[str]) -> None:
-        """Encodes distinct pre-tokens: a depth-first walk of their trie, with one state per prefix on the stack."""
-        get, compatible, stands, longest, packed = self.ids.get, self.compatible, self.stands, self.longest, self.packed
-        before, last, encoding = b"", [-1], [b""]
+        """Encodes distinct pre-tokens: a depth-first walk of their trie, with one state per prefix on the stack.
+
+        A state is the prefix's last token, its encoding, and the places where a token may have begun that goes on.
+        """
+        get, fits, compatible, stands, packed, whole = self.prefixes.get, self.fits, self.compatible, self.stands, self.packed, self.bytes
+        before, last, encoding, begun = b"", [-1], [b""], [[]]
         for raw, word in sorted((word.encode("utf-8", "replace"), word) for word in words):
             shared, most = 0, min(len(raw), len(before))
             while shared < most and raw[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], encoding[shared + 1 :]
+            del last[shared + 1 :], encoding[shared + 1 :], begun[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
+                going, found = [], -1
+                for start in (*begun[end - 1], end - 1):
                     token = get(raw[start:end])
-                    if token is not None and stands(token) and (not start or compatible(last[start], token)):
-                        last.append(token)
-                        encoding.append(encoding[start] + packed[token])
-                        break
-                else:
+                    if token is not None:
+                        going.append(start)
+                        if token >= 0 > found and stands(token):
+                            if not start:
+                                found, at = token, start
+                            else:
+                                fit = fits.get((last[start], token))
+                                if fit or (fit is None and compatible(last[start], token)):
+                                    found, at = token, start
+                if found < 0:
                     raise ValueError(f"no token for {raw[:end]!r}")
+                last.append(found)
+                encoding.append(encoding[at] + packed[found])
+                begun.append(going)
             before = raw
-            ids = encoding[-1]
-            self.encoded[word] = ids
-            self.decoded[word] = b"".join([self.bytes[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)])
+            ids = self.encoded[word] = encoding[-1]
+            back = b"".join([whole[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)])
+            if back != raw:
+                self.altered[word] = back
+
+    def back(self, words: list[str]) -> bytes:
+        """The bytes that the ids of these pre-tokens decode to."""
+        if self.altered and not self.altered.keys().isdisjoint(words):
+            return b"".join([self.altered.get(word) or word.encode() for word in words])
+        return "".join(words).encode()
 
     def blocks(self, texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         """(index of the text, its next pre-tokens); the words of a block are encoded before it is handed out."""
@@ -147,9 +168,9 @@ class ByteBpe:
         def ready() -> Iterator[tuple[int, list[str]]]:
             if len(self.encoded) > CACHE:
                 self.encoded.clear()
-                self.decoded.clear()
+                self.altered.clear()
             for word, token in self.special.items():
-                self.encoded[word], self.decoded[word] = self.packed[token], self.bytes[token]
+                self.encoded[word] = self.packed[token]
             new: set[str] = set()
             for _, words in held:
                 new.update(words)
@@ -211,7 +232,7 @@ def _digests(path: str):
                 encoded = b"".join(map(bpe.encoded.__getitem__, words))
                 counts[k] += len(encoded) // 4
                 ids[k].update(encoded)
-                back[k].update(b"".join(map(bpe.decoded.__getitem__, words)))
+                back[k].update(bpe.back(words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in ids]), pa.array([h.hexdigest() for h in back])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
