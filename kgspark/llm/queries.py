@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import bpe, lm_scoring, packing
+from kgspark.llm import bpe, lm_scoring, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_deleted_interpolation": lm_scoring.op2_deleted_interpolation,
+        "op4_quality_bradley_terry": quality.op4_quality_bradley_terry,
         "op8_packing_min_slack": packing.op8_packing_min_slack,
+        "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
         "op10_bpe_trie": bpe.op10_bpe_trie,
     }
 
