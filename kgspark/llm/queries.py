@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import bpe, lm_scoring, packing, quality, toxicity
+from kgspark.llm import bpe, lm_scoring, packing, quality, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_deleted_interpolation": lm_scoring.op2_deleted_interpolation,
         "op4_quality_bradley_terry": quality.op4_quality_bradley_terry,
         "op8_packing_min_slack": packing.op8_packing_min_slack,
