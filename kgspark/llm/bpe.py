@@ -25,6 +25,8 @@ from kgspark.llm.shared import table, text_pieces
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Distinct pre-tokens a worker remembers, and characters it takes up at once: memory bounds only.
 CACHE, BLOCK = 600_000, 2_000_000
+#: Longer pre-tokens, in bytes, are encoded outside the trie: a state holds its whole encoding there.
+LONG = 256
 NEVER = 1 << 60
 
 
@@ -126,6 +128,9 @@ class ByteBpe:
         get, fits, compatible, stands, packed, whole = self.prefixes.get, self.fits, self.compatible, self.stands, self.packed, self.bytes
         before, last, encoding, begun = b"", [-1], [b""], [[]]
         for raw, word in sorted((word.encode("utf-8", "replace"), word) for word in words):
+            if len(raw) > LONG:
+                self.encoded[word] = self.walked(raw)
+                continue
             shared, most = 0, min(len(raw), len(before))
             while shared < most and raw[shared] == before[shared]:
                 shared += 1
@@ -154,6 +159,19 @@ class ByteBpe:
             if back != raw:
                 self.altered[word] = back
 
+    def walked(self, raw: bytes) -> bytes:
+        """A long pre-token by itself: the same states without a copy of the encoding in each, read from the end."""
+        last, begun = [-1], []
+        for end in range(1, len(raw) + 1):
+            begun = [s for s in (*begun, end - 1) if raw[s:end] in self.prefixes]
+            tokens = ((s, self.prefixes[raw[s:end]]) for s in begun)
+            last.append(next(t for s, t in tokens if t >= 0 and self.stands(t) and (not s or self.compatible(last[s], t))))
+        ids, at = [], len(raw)
+        while at:
+            ids.append(self.packed[last[at]])
+            at -= len(self.bytes[last[at]])
+        return b"".join(reversed(ids))
+
     def back(self, words: list[str]) -> bytes:
         """The bytes that the ids of these pre-tokens decode to."""
         if self.altered and not self.altered.keys().isdisjoint(words):
