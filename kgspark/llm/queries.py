@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import bpe, lm_scoring, packing, quality, substring_dedup, toxicity
+from kgspark.llm import bpe, lm_scoring, near_dedup, packing, quality, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_deleted_interpolation": lm_scoring.op2_deleted_interpolation,
         "op4_quality_bradley_terry": quality.op4_quality_bradley_terry,
+        "op7_near_dedup_dartminhash": near_dedup.op7_near_dedup_dartminhash,
         "op8_packing_min_slack": packing.op8_packing_min_slack,
         "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
         "op10_bpe_trie": bpe.op10_bpe_trie,
