@@ -100,25 +100,36 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
 
 
-def _sent(chunk: bytes, keys: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """The keys of one chunk by bucket, in a stable order: (bucket, keys, columns)."""
-    bucket = (keys >> np.uint64(40)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+def _dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a chunk's keys by bucket and, within a bucket, by key; and where each bucket begins."""
+    by_key = np.argsort(keys)
+    bucket = ((keys >> np.uint64(40)) % np.uint64(n_buckets))[by_key]
+    by_bucket = np.argsort(bucket, kind="stable")
+    return by_key[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1, dtype=np.uint64))
+
+
+def _sent(keys: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes, list[bytes]]]:
+    """The keys of one chunk by bucket: (bucket, gaps between the sorted keys, columns)."""
+    order, bounds = _dealt(keys, n_buckets)
     for k in range(n_buckets):
         at = order[bounds[k] : bounds[k + 1]]
         if len(at):
-            yield k, keys[at].tobytes(), [squeezed(x[at]) for x in columns]
+            yield k, squeezed(np.diff(keys[at], prepend=np.uint64(0))), [squeezed(x[at]) for x in columns]
+
+
+def _received(blobs: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The keys of all chunks, and how many each sent."""
+    every = [np.cumsum(expanded(x, "<u8"), dtype=np.uint64) for x in blobs]
+    return np.concatenate(every), [len(x) for x in every]
 
 
 def _answered(n: int, keys: np.ndarray, n_buckets: int, answers: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
     """The buckets' answers put back into the order of the chunk's keys."""
-    bucket = (keys >> np.uint64(40)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
+    order, _ = _dealt(keys, n_buckets)
     out = []
     for k in range(n):
         x = np.empty(len(keys), np.int64)
-        x[order] = np.concatenate([answers[b][k] for b in sorted(answers)]) if len(keys) else np.empty(0, np.int64)
+        x[order] = np.concatenate([answers[b][k] for b in sorted(answers)])
         out.append(x)
     return out
 
@@ -156,13 +167,12 @@ def word_counts(chunks: DataFrame, n_buckets: int) -> DataFrame:
                 words, tokens, _, train, deleted = _local(row)
                 n = len(words)
                 columns = [np.bincount(tokens[which], minlength=n).astype(np.uint32) for which in (train, train & ~deleted)]
-                rows = list(_sent(row["chunk"], words, n_buckets, columns))
+                rows = list(_sent(words, n_buckets, columns))
                 if rows:
                     yield _batch("bucket chunk keys train kept", pa.array([r[0] for r in rows], pa.int64()), pa.array([row["chunk"]] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[2][k] for r in rows], pa.binary()) for k in range(2)))
 
     def add(tables: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in tables.column("keys").to_pylist()])
-        sizes = [len(x) // 8 for x in tables.column("keys").to_pylist()]
+        keys, sizes = _received(tables.column("keys").to_pylist())
         every, which = np.unique(keys, return_inverse=True)
         sums = []
         for name in ("train", "kept"):
@@ -206,15 +216,14 @@ def pair_counts(chunks: DataFrame, n_buckets: int, word_buckets: int, n_kept: in
                 # What the held-out statistics need of a pair's words goes along only where the pair is held out.
                 asked = count[2] > 0
                 held = [np.where(asked, kept_words[x], 0).astype(np.uint32) for x in (context, word)]
-                rows = list(_sent(row["chunk"], keys, n_buckets, [*count, *held]))
+                rows = list(_sent(keys, n_buckets, [*count, *held]))
                 names = ("train", "kept", "deleted", "context", "word")
                 if rows:
                     yield _batch("bucket chunk keys " + " ".join(names), pa.array([r[0] for r in rows], pa.int64()), pa.array([row["chunk"]] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[2][k] for r in rows], pa.binary()) for k in range(5)))
 
     def add(tables: pa.Table) -> pa.Table:
-        blobs = tables.column("keys").to_pylist()
-        sizes = [len(x) // 8 for x in blobs]
-        every, which = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs]), return_inverse=True)
+        keys, sizes = _received(tables.column("keys").to_pylist())
+        every, which = np.unique(keys, return_inverse=True)
         got = {c: np.concatenate([expanded(b, "<u4") for b in tables.column(c).to_pylist()]) for c in ("train", "kept", "deleted", "context", "word")}
         total = {c: np.bincount(which, got[c], minlength=len(every)).astype(np.int64) for c in ("train", "kept")}
         at = got["deleted"] > 0
