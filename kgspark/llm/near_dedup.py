@@ -209,16 +209,37 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, ban
         links, tested = links.union(found), tested.union(new)
 
 
+def _blank():
+    return F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\r\x0b\x0c", "     ")) == ""
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("node"), _blank().alias("blank"))
+
+
+def _nodes(docs: DataFrame, **options) -> DataFrame:
+    """(node, first_id, copies, comp) of every text with words; a text without links is its own component."""
+    nodes = _keyed(docs).filter("NOT blank").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return nodes.join(classes(docs, **options), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def grouped(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, node, class_id, class_size): every document with the smallest id of its class and how many rows are in it."""
-    named = docs.select("doc_id", F.xxhash64("text").alias("node"), (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\r\x0b\x0c", "     ")) == "").alias("blank"))
-    nodes = named.filter("NOT blank").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    of = nodes.join(classes(docs, **options), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named, of = _keyed(docs), _nodes(docs, **options)
     named_classes = of.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     known = of.select("node", "comp").join(named_classes, "comp").select("node", "class_id", "class_size")
     found = named.filter("NOT blank").join(known, "node").select("doc_id", "node", "class_id", "class_size")
     return found.union(named.filter("blank").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which one stays for each class, the one with its smallest id; all columns as they are."""
+    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no column's name clashes
+    first = _nodes(docs, **options).groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("one")).select(F.col("one.node").alias("node"), F.col("one.first_id").alias("first_id"))
+    keyed = row.select(F.xxhash64("text").alias("node"), "doc_id", "text", "row")
+    kept = keyed.join(first.hint("shuffle_hash"), "node").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["node", "doc_id"])
+    return kept.select("row.*").union(keyed.filter(_blank()).select("row.*"))
+
+
 def op7_near_dedup_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

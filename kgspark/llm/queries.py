@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import ann, bpe, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, toxicity
+from kgspark.llm import ann, bpe, licenses, lm_scoring, near_dedup, packing, quality, substring_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_deleted_interpolation": lm_scoring.op2_deleted_interpolation,
         "op3_ann_projections_kdtree": ann.op3_ann_projections_kdtree,
         "op4_quality_bradley_terry": quality.op4_quality_bradley_terry,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_topk_inner_products": topk.op6_topk_inner_products,
         "op7_near_dedup_dartminhash": near_dedup.op7_near_dedup_dartminhash,
         "op8_packing_min_slack": packing.op8_packing_min_slack,

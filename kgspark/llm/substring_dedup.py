@@ -225,10 +225,12 @@ def removed(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for text, stretches in zip(batch.column("text").to_pylist(), batch.column("stretches").to_pylist(), strict=True):
                 found, gone = kept_words(text, stretches, words)
                 texts.append(b" ".join([found[k] for k in np.flatnonzero(~gone)]).decode("utf-8", "replace") if gone.any() else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else row.field(k) for k, c in enumerate(columns)], names=columns)
 
-    named = with_stretches(docs.select("doc_id", "text", F.struct(*columns).alias("row")), words)
-    return named.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns), "stretches").mapInArrow(run, docs.schema)
+    # The other columns travel in a struct, so that no name of theirs clashes.
+    found = with_stretches(docs.select("doc_id", "text", F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in columns]).alias("row")), words)
+    return found.select("text", "stretches", "row").mapInArrow(run, docs.schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
