@@ -10,7 +10,7 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 K (ln K + 2) darts however long the document is.
 
 Joining.  BANDS bands of ROWS coordinates are dealt into buckets; a pair at the threshold shares none of them with a
-probability of about 1e-5.  Within a bucket no pairs are listed.  Its hub, the document with the largest buckets (in a
+probability of about 2e-5.  Within a bucket no pairs are listed.  Its hub, the document with the largest buckets (in a
 group of copies, the one they were made from), is compared with the others: a star.  Only where a bucket still holds
 different classes after that are members of different classes compared: all of them in buckets of up to SMALL members;
 in larger ones the hub of each class with the members of other classes, round after round until nothing new is linked.
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from kgspark.llm.shared import WordHashes, gram_hashes, mixed, signed, span_hashes, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 48, 7
+BANDS, ROWS = 36, 6
 SMALL = 64
-#: Shingles whose darts are thrown at once; a memory bound.
-AT_ONCE = 200_000
+#: Memory bounds of a task: documents and shingles taken up at once, and shingles and darts of one throw.
+DOCS_AT_ONCE, SHINGLES_AT_ONCE, SHINGLES_A_THROW, DARTS_A_THROW = 4_000, 1_000_000, 200_000, 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SHORT_BASE = 0xD1342543DE82EF95
 
@@ -67,7 +67,7 @@ def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int) ->
     while (up := np.flatnonzero(weight > low)).size:
         strips.append((doc[up], element[up], weight[up], np.full(len(up), low), np.full(len(up), low)))
         low *= 2
-    seed = np.concatenate([mixed(s[1] + GOLDEN * np.uint64(i + 1)) for i, s in enumerate(strips)])
+    seed = np.concatenate([mixed(s[1] + np.uint64(int(GOLDEN) * (i + 1) % 2**64)) for i, s in enumerate(strips)])
     doc, element, weight, base, width = (np.concatenate([s[i] for s in strips]) for i in range(5))
     rank, step = np.zeros(len(doc)), np.zeros(len(doc), np.uint64)
     best, found = np.full(n_docs * k, np.inf), np.zeros(n_docs * k, np.uint64)
@@ -77,25 +77,19 @@ def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int) ->
     rank += -np.log(_uniform(drawn)) / width
     while True:
         active = pending[rank[pending] <= bound[doc[pending]]]
-        slots, ranks, darts = [], [], []
         while len(active):
             dart = mixed(drawn[active] ^ GOLDEN)
             hit = base[active] + width[active] * ((dart & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32)
-            below = hit < weight[active]
-            a = active[below]
-            slots.append(doc[a] * k + ((dart[below] >> np.uint64(32)) % np.uint64(k)).astype(np.int64))
-            ranks.append(rank[a])
-            darts.append(dart[below])
+            slot, at = doc[active] * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64), rank[active]
+            good = (hit < weight[active]) & (at < best[slot])
+            slot, at = slot[good], at[good]
+            np.minimum.at(best, slot, at)
+            first = best[slot] == at
+            found[slot[first]] = dart[good][first]
             step[active] += np.uint64(1)
-            drawn[active] = mixed(seed[active] + step[active] * GOLDEN)
-            rank[active] += -np.log(_uniform(drawn[active])) / width[active]
-            active = active[rank[active] <= bound[doc[active]]]
-        if slots:
-            slot, r, d = np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
-            order = np.lexsort((d, r, slot))
-            first = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
-            better = r[first] < best[slot[first]]
-            best[slot[first][better]], found[slot[first][better]] = r[first][better], d[first][better]
+            draw = drawn[active] = mixed(seed[active] + step[active] * GOLDEN)
+            then = rank[active] = rank[active] - np.log(_uniform(draw)) / width[active]
+            active = active[then <= bound[doc[active]]]
         open_docs = np.flatnonzero(np.isinf(best.reshape(n_docs, k)).any(1))
         if not len(open_docs):
             return found.reshape(n_docs, k)
@@ -114,19 +108,31 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _banded(n: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            nodes, texts = batch.column("node").to_pylist(), batch.column("text")
-            sets = [(node, *shingles(hashes, texts[k].as_py(), n)) for node, k in {node: k for k, node in enumerate(nodes)}.items()]
-            sets = sorted((s for s in sets if len(s[1])), key=lambda s: len(s[1]))  # documents of one size need as many draws
+        most_docs = max(1, int(DARTS_A_THROW / (bands * rows * (math.log(bands * rows) + 2))))
+
+        def thrown(sets: list) -> Iterator[pa.RecordBatch]:
+            sets.sort(key=lambda s: len(s[1]))  # documents of one size need as many draws
             while sets:
                 size, take = 0, 0
-                while take < len(sets) and (not take or size + len(sets[take][1]) <= AT_ONCE):
+                while take < min(len(sets), most_docs) and (not take or size + len(sets[take][1]) <= SHINGLES_A_THROW):
                     size += len(sets[take][1])
                     take += 1
                 part, sets = sets[:take], sets[take:]
                 signature = signatures([s[1] for s in part], [s[2] if weighted else np.ones(len(s[1])) for s in part], bands * rows)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(band_hashes(signature, bands, rows).reshape(-1))), pa.array(np.repeat(np.array([s[0] for s in part], np.int64), bands))], names=["bucket", "node"])
 
+        for batch in batches:
+            texts, sets, size = batch.column("text"), [], 0
+            for node, k in {node: k for k, node in enumerate(batch.column("node").to_pylist())}.items():
+                s = (node, *shingles(hashes, texts[k].as_py(), n))
+                if len(s[1]):
+                    sets.append(s)
+                    size += len(s[1])
+                if len(sets) >= DOCS_AT_ONCE or size >= SHINGLES_AT_ONCE:
+                    yield from thrown(sets)
+                    sets, size = [], 0
+            yield from thrown(sets)
+
     return run
 
 
