@@ -14,7 +14,10 @@ probability of about 2e-5.  Within a bucket no pairs are listed.  Its hub, the d
 group of copies, the one they were made from), is compared with the others: a star.  Only where a bucket still holds
 different classes after that are members of different classes compared: all of them in buckets of up to SMALL members;
 in larger ones the hub of each class with the members of other classes, round after round until nothing new is linked.
-Similarities are computed from the texts.
+Two bounds, neither of which loses a link, keep pairs from being listed, so that many variants of one text that are not
+near-duplicates of each other cost few pairs: a document's shingles that no other of these documents has bound how much
+it shares with any of them; and where PARITY_WORDS x 64 bits, each the parity of how many shingles fall on it, differ
+between two documents, their shingles differ at least as often.  Similarities are computed from the texts.
 
 Exact copies are one node with a count.  Null texts and texts without words are not duplicates of anything: each is its
 own class.  Repeated rows are copies.  Null ids stay null; a class is named by its smallest id.
@@ -34,7 +37,7 @@ from kgspark.llm.shared import WordHashes, gram_hashes, mixed, signed, span_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
-SMALL = 64
+SMALL, PARITY_WORDS = 64, 8
 #: Memory bounds of a task: documents and shingles taken up at once, and shingles and darts of one throw.
 DOCS_AT_ONCE, SHINGLES_AT_ONCE, SHINGLES_A_THROW, DARTS_A_THROW = 4_000, 1_000_000, 200_000, 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +180,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _listed(n: int, weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                grams, counts = shingles(hashes, text, n)
+                weight = counts if weighted else np.ones(len(grams), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(signed(grams)), pa.array(weight)], names=["node", "shingle", "weight"])
+
+    return run
+
+
+def _parities(n: int, weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            totals, bits = [], []
+            for text in batch.column("text").to_pylist():
+                grams, counts = shingles(hashes, text, n)
+                totals.append(int(counts.sum()) if weighted else len(grams))
+                odd = np.bincount((mixed(grams) >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) % 2
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(totals, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "total", "parity"])
+
+    return run
+
+
+def bounds_of(texts: DataFrame, n: int, threshold: float, weighted: bool) -> DataFrame:
+    """(node, total, parity, reach): the weight of a text's shingles, their parities, and the most that a similar text weighs.
+
+    What is shared with another text is at most the weight of the shingles that some other text has too.
+    """
+    every = texts.select("node", "text").mapInArrow(_listed(n, weighted), "node long, shingle long, weight long")
+    owned = every.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.sum("weight").alias("weight"))
+    alone = owned.filter("texts = 1").groupBy("node").agg(F.sum("weight").alias("alone"))
+    total = texts.select("node", "text").mapInArrow(_parities(n, weighted), "node long, total long, parity array<long>")
+    shared = F.col("total") - F.coalesce("alone", F.lit(0))
+    return written(total.join(alone, "node", "left").select("node", "total", "parity", (shared * (1 + threshold) / threshold - F.col("total") + 1e-6).alias("reach")), "bounds")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, weighted: bool) -> DataFrame:
     """The pairs (a, b) whose texts are similar.  ``texts``: one text a node."""
     named = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -198,16 +241,23 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, ban
     first = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(needed, "node", "left_semi").withColumnRenamed("doc_id", "first_id").withColumnRenamed("node", "first_node")
     texts = written(named.join(wanted, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links, tested = linked(pairs, texts, n, threshold, weighted), pairs
+    links, tested, bounds = linked(pairs, texts, n, threshold, weighted), pairs, None
     while True:
         comp = components(links)
         member = live.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed_ = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
-        open_ = written(member.join(mixed_, "bucket"), "open")
-        left, right = open_.select("bucket", "size", F.col("node").alias("a"), F.col("comp").alias("comp_a")), open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        heads = open_.filter(F.col("size") > SMALL).join(weight, "node").groupBy("bucket", "comp").agg(F.max(F.struct("degree", "node"))["node"].alias("b")).select("bucket", "b", F.col("comp").alias("comp_b"))
-        small = left.filter(F.col("size") <= SMALL).join(right, "bucket").filter("a < b AND comp_a <> comp_b").select("a", "b")
-        large = left.filter(F.col("size") > SMALL).join(heads, "bucket").filter("comp_a <> comp_b").select("a", "b")
+        open_ = written(_unsettled(member), "open")
+        if bounds is None:
+            bounds = bounds_of(texts.join(open_.select("node").distinct(), "node", "left_semi"), n, threshold, weighted)
+        bounded = open_.drop("size").join(bounds, "node")
+        least = bounded.groupBy("bucket").agg(F.min("total").alias("least"))
+        open_ = written(_unsettled(bounded.join(least, "bucket").filter("reach >= least").drop("least")), "open")
+        left, right = (open_.select("bucket", "size", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "total", "reach", "parity"))) for side in "ab")
+        heads = open_.filter(F.col("size") > SMALL).join(weight, "node").groupBy("bucket", "comp").agg(F.max_by(F.struct("node", "total", "reach", "parity"), F.struct("degree", "node")).alias("h"))
+        heads = heads.select("bucket", F.col("comp").alias("comp_b"), F.col("h.node").alias("node_b"), F.col("h.total").alias("total_b"), F.col("h.reach").alias("reach_b"), F.col("h.parity").alias("parity_b"))
+        differ = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY_WORDS))
+        able = F.expr(f"comp_a <> comp_b AND reach_a >= total_b AND reach_b >= total_a AND {differ} <= {(1 - threshold) / (1 + threshold)}D * (total_a + total_b) + 1e-6D")
+        small = left.filter(F.col("size") <= SMALL).join(right.drop("size"), "bucket").filter(able & F.expr("node_a < node_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        large = left.filter(F.col("size") > SMALL).join(heads, "bucket").filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = written(small.union(large).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = linked(new, texts, n, threshold, weighted)
         if found.isEmpty():
@@ -215,6 +265,12 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, ban
         links, tested = links.union(found), tested.union(new)
 
 
+def _unsettled(member: DataFrame) -> DataFrame:
+    """The members of the buckets that hold more than one class, with how many there are."""
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
+    return member.join(sizes, "bucket")
+
+
 def _blank():
     return F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\r\x0b\x0c", "     ")) == ""
 
