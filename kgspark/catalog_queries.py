@@ -1,11 +1,571 @@
-"""Queries over the synthetic tables and their DuckDB twins, one per operator."""
+"""Queries over the synthetic tables and their DuckDB twins, one per operator; ``sources.demo`` says how the tables are a graph."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.functions import literals as L
+from kgspark.functions import text as T
+from kgspark.operators import classify, lookup, names, retrieve
+from kgspark.plans import closure as C
+from kgspark.sources import company_csv, demo, dump, snapshots
+from kgspark.sources.demo import table, with_
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def joined(column: str, name: str | None = None):
+    return F.array_join(column, " ").alias(name or column)
+
+
+def entities(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).alias("entity")).distinct()
+
+
+# Closure of the type hierarchy
+
+
+@query(with_("type_edges", "closure") + " SELECT subclass, superclass FROM closure")
+def closure_full(spark, d):
+    return C.closure(demo.type_edges(spark, d)).select("subclass", "superclass")
+
+
+@query(with_("cyclic_edges", "closure").replace("type_edges", "cyclic_edges") + " SELECT subclass, superclass FROM closure")
+def closure_cyclic(spark, d):
+    return C.closure(demo.cyclic_edges(spark, d)).select("subclass", "superclass")
+
+
+@query(with_("type_edges", "closure") + " SELECT subclass, superclass FROM closure WHERE subclass IN (SELECT 'Q1' || s_suppkey FROM supplier)")
+def closure_seeded(spark, d):
+    seeds = table(spark, d, "supplier").select(demo.qid(demo.PART, "s_suppkey").alias("item"))
+    return C.closure(demo.type_edges(spark, d), seeds).select("subclass", "superclass")
+
+
+@query(with_("type_edges", "closure") + " SELECT 'Q1' || p_partkey AS item, coalesce(string_agg(superclass, ' ' ORDER BY superclass), '') AS superclasses FROM part LEFT JOIN closure ON subclass = 'Q1' || p_partkey GROUP BY 1")
+def closure_all_items(spark, d):
+    asked = table(spark, d, "part").select(demo.qid(demo.PART, "p_partkey").alias("item"))
+    return C.superclasses(asked, C.closure(demo.type_edges(spark, d))).select("item", joined("superclasses"))
+
+
+@query(
+    with_("type_edges", "closure", "instances")
+    + ", seeds AS (SELECT child, parent FROM instances UNION SELECT child, parent FROM type_edges) SELECT child AS item, parent AS superclass FROM seeds UNION SELECT s.child, c.superclass FROM seeds s JOIN closure c ON s.parent = c.subclass"
+)
+def closure_instance(spark, d):
+    edges = demo.type_edges(spark, d)
+    return C.of_instances(demo.instances(spark, d), edges, C.closure(edges))
+
+
+@query(with_("type_edges", "closure") + " SELECT subclass AS entity FROM closure WHERE superclass = 'Q12' UNION SELECT 'Q12'")
+def descendants(spark, d):
+    return C.descendants(C.closure(demo.type_edges(spark, d)), "Q12")
+
+
+@query(with_("type_edges", "closure") + " SELECT superclass AS entity FROM closure WHERE subclass = 'Q1100' UNION SELECT 'Q1100'")
+def ancestors(spark, d):
+    return C.ancestors(C.closure(demo.type_edges(spark, d)), "Q1100")
+
+
+_SETS = """, places AS (SELECT subclass AS entity FROM closure WHERE superclass = 'Q12' UNION SELECT 'Q12' EXCEPT (SELECT subclass FROM closure WHERE superclass IN ('Q19', 'Q110') UNION SELECT unnest(['Q19', 'Q110']))),
+orgs AS (SELECT subclass AS entity FROM closure WHERE superclass = 'Q13' UNION SELECT 'Q13' EXCEPT (SELECT subclass FROM closure WHERE superclass = 'Q114' UNION SELECT 'Q114'))"""
+
+
+def _sets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return C.class_set(pairs, "Q12", ["Q19", "Q110"]), C.class_set(pairs, "Q13", ["Q114"])
+
+
+@query(with_("type_edges", "closure") + _SETS + " SELECT entity FROM places")
+def class_set_difference(spark, d):
+    return _sets(C.closure(demo.type_edges(spark, d)))[0]
+
+
+@query(with_("type_edges", "closure", "items") + " SELECT entity, type FROM items WHERE type IS NOT NULL UNION SELECT i.entity, c.superclass FROM items i JOIN closure c ON i.type = c.subclass")
+def extended_types(spark, d):
+    explicit = demo.items(spark, d).select("entity", F.explode("explicit_types").alias("type"))
+    return C.extended_types(explicit, C.closure(demo.type_edges(spark, d)))
+
+
+@query(
+    with_("type_edges", "closure")
+    + _SETS
+    + """, claims AS (SELECT 'Q5' || l_orderkey AS entity, l_partkey AS pos, CASE WHEN l_partkey = 7 THEN 'PERS' WHEN p.entity IS NOT NULL THEN 'LOC' WHEN o.entity IS NOT NULL THEN 'ORG' ELSE 'OTHERS' END AS ner
+FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN places p ON p.entity = 'Q1' || l_partkey LEFT JOIN orgs o ON o.entity = 'Q1' || l_partkey)
+SELECT entity, string_agg(ner, ' ' ORDER BY pos) AS ner_types FROM (SELECT entity, ner, min(pos) AS pos FROM claims GROUP BY 1, 2) GROUP BY 1"""
+)
+def ner_typing(spark, d):
+    claims = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    explicit = claims.select(demo.qid(demo.ORDER, "l_orderkey").alias("entity"), F.col("l_partkey").alias("pos"), demo.qid(demo.PART, "l_partkey").alias("type"))
+    return dump.ner_types(explicit, *_sets(C.closure(demo.type_edges(spark, d))), human="Q17").select("entity", joined("ner_types"))
+
+
+# Retrieval by ids
+
+
+@query(with_("items") + " SELECT entity, type FROM items WHERE entity IN (SELECT 'Q2' || c_custkey FROM customer)")
+def types_lookup(spark, d):
+    return retrieve.types(demo.items(spark, d), table(spark, d, "customer").select(demo.qid(demo.CUSTOMER, "c_custkey").alias("entity")))
+
+
+@query(with_("edges") + " SELECT subject, object, string_agg(predicate, ' ' ORDER BY predicate) AS predicates FROM edges WHERE subject IN (SELECT 'Q5' || l_orderkey FROM lineitem) GROUP BY 1, 2")
+def objects_lookup(spark, d):
+    return retrieve.objects(demo.edges(spark, d), entities(demo.instances(spark, d), "child")).select("subject", "object", joined("predicates"))
+
+
+@query(with_("literals") + ' SELECT subject, datatype, predicate, string_agg(value, \' \' ORDER BY value) AS "values" FROM literals WHERE subject IN (SELECT \'Q2\' || o_custkey FROM orders) GROUP BY 1, 2, 3')
+def literals_lookup(spark, d):
+    ids = table(spark, d, "orders").select(demo.qid(demo.CUSTOMER, "o_custkey").alias("entity"))
+    return retrieve.literals(demo.literals(spark, d), ids).select("subject", "datatype", "predicate", joined("values"))
+
+
+@query(
+    with_("edges")
+    + ", pairs AS (SELECT 'Q2' || c_custkey AS s, 'Q4' || c_nationkey AS o FROM customer UNION SELECT 'Q4' || c_nationkey, 'Q2' || c_custkey FROM customer) SELECT s || ' ' || o AS pair, string_agg(predicate, ' ' ORDER BY predicate) AS predicates FROM pairs JOIN edges ON subject = s AND object = o GROUP BY 1"
+)
+def predicates_pairs(spark, d):
+    c = table(spark, d, "customer").select(demo.qid(demo.CUSTOMER, "c_custkey").alias("a"), demo.qid(demo.NATION, "c_nationkey").alias("b"))
+    pairs = c.select(F.array("a", "b").alias("pair")).union(c.select(F.array("b", "a")))
+    return retrieve.predicates(demo.edges(spark, d), retrieve.checked_pairs(pairs)).select("pair", joined("predicates"))
+
+
+@query(with_("edges") + " SELECT entity, CASE WHEN regexp_matches(entity, '^[QP][0-9]+$') THEN 'wikidata' ELSE 'dbpedia' END AS kg FROM (SELECT subject AS entity FROM edges UNION SELECT n_name FROM nation)")
+def kg_recognise(spark, d):
+    every = entities(demo.edges(spark, d), "subject").union(table(spark, d, "nation").select("n_name")).distinct()
+    return every.select("entity", T.knowledge_graph(F.col("entity")).alias("kg"))
+
+
+_LABELS = " SELECT entity, 'https://www.wikidata.org/wiki/' || entity AS url, kind, ner_type, {} AS label, {} AS aliases FROM items WHERE {}"
+
+
+def _flat_labels(rows: DataFrame, lang: str) -> DataFrame:
+    return rows.select("entity", "url", "kind", "ner_type", F.col("labels")[lang].alias("label"), F.array_join(F.coalesce(F.flatten(F.map_values("aliases")), F.array().cast("array<string>")), "|").alias("aliases"))
+
+
+@query(with_("items") + _LABELS.format("upper(label)", "coalesce(alias || '|' || upper(label), '')", "true"))
+def labels_lang(spark, d):
+    items = demo.items(spark, d)
+    return _flat_labels(retrieve.labels(items, entities(items, "entity"), "fr"), "fr")
+
+
+@query(with_("items") + _LABELS.format("label", "coalesce(alias || '|' || upper(label), '')", "kind = 'type'"))
+def labels_category(spark, d):
+    items = demo.items(spark, d)
+    return _flat_labels(retrieve.labels(items, entities(items, "entity"), None, "type"), "en")
+
+
+@query(with_("items") + " SELECT entity, 'wikidata' AS site, 'https://www.wikidata.org/wiki/' || entity AS url FROM items WHERE entity IN (SELECT object FROM edges)".replace("edges", "(SELECT 'Q4' || c_nationkey AS object FROM customer UNION SELECT 'Q1' || l_partkey FROM lineitem)"))
+def sameas(spark, d):
+    asked = demo.instances(spark, d).select(F.col("parent").alias("entity")).union(table(spark, d, "customer").select(demo.qid(demo.NATION, "c_nationkey")))
+    return retrieve.sameas(demo.items(spark, d), asked)
+
+
+def _summary_sql(source: str, order: str, where: str = "true") -> str:
+    return with_(source) + f' SELECT subject AS entity, predicate, count(*) AS "count" FROM {source} WHERE {where} GROUP BY 1, 2 ORDER BY 3 {order}, 1, 2 LIMIT 10'
+
+
+@query(_summary_sql("edges", "DESC"))
+def summary_objects_desc(spark, d):
+    return retrieve.summary(retrieve.summary_table(demo.edges(spark, d)))
+
+
+@query(_summary_sql("edges", "ASC"))
+def summary_objects_asc(spark, d):
+    return retrieve.summary(retrieve.summary_table(demo.edges(spark, d)), rank_order="asc")
+
+
+@query(_summary_sql("literals", "DESC", "subject IN ('Q21', 'Q22', 'Q51', 'Q52')"))
+def summary_literals(spark, d):
+    return retrieve.summary(retrieve.summary_table(demo.literals(spark, d)), ["Q21", "Q22", "Q51", "Q52"])
+
+
+def _bag_sql(text: str) -> str:
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in retrieve.stopwords())
+    return f"list_filter(list_distinct(regexp_split_to_array(lower(trim({text})), '[^\\p{{L}}\\p{{N}}]+')), lambda w: w <> '' AND NOT list_contains([{stop}], w))"
+
+
+@query(f"SELECT doc_id, unnest({_bag_sql('text')}) AS word FROM documents")
+def bow_tokens(spark, d):
+    return retrieve.bags(table(spark, d, "documents"), "doc_id").select("doc_id", F.explode("words").alias("word"))
+
+
+@query(
+    f"WITH r AS (SELECT item_id AS row_id, {_bag_sql('text')} AS words FROM benchmark), c AS (SELECT doc_id AS entity, {_bag_sql('text')} AS bag FROM documents), n AS (SELECT count(*) AS n FROM benchmark) "
+    "SELECT row_id, entity, round(CASE WHEN len(words) = 0 THEN 0 ELSE len(list_intersect(words, bag)) / len(words) END, 9) AS similarity, array_to_string(list_sort(list_intersect(words, bag)), ' ') AS matched FROM c, n JOIN r ON row_id = entity % n"
+)
+def bow_similarity(spark, d):
+    """Every document is asked for by one benchmark text."""
+    texts, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    pairs = docs.select((F.col("doc_id") % texts.count()).alias("row_id"), F.col("doc_id").alias("entity"))
+    rows, bags = retrieve.bags(texts.withColumnRenamed("item_id", "row_id"), "row_id"), retrieve.bags(docs.withColumnRenamed("doc_id", "entity"), "entity")
+    return retrieve.bow_similarity(rows, bags, pairs).select("row_id", "entity", F.round("similarity", 9).alias("similarity"), joined("matched"))
+
+
+# The name index
+
+
+@query(with_("items") + " SELECT max(popularity) AS max_popularity FROM items")
+def max_popularity(spark, d):
+    return names.max_popularity(demo.items(spark, d))
+
+
+@query(with_("items") + " SELECT entity, popularity, round_even(popularity / (SELECT max(popularity) FROM items), 2) AS popularity_norm FROM items")
+def popularity_norm(spark, d):
+    return names.with_popularity_norm(demo.items(spark, d)).select("entity", "popularity", "popularity_norm")
+
+
+@query(
+    with_("items")
+    + " SELECT entity, label AS name, 'en fr' AS languages, false AS is_alias FROM items UNION ALL SELECT entity, alias, 'en', true FROM items WHERE alias IS NOT NULL AND lower(alias) <> lower(label)"
+)
+def surface_forms(spark, d):
+    return names.surface_forms(demo.items(spark, d)).select("entity", "name", joined("languages"), "is_alias")
+
+
+@query(with_("items", "names") + " SELECT entity, name FROM names WHERE ner_type = 'PERS' AND is_alias")
+def person_abbrev(spark, d):
+    return names.person_forms(demo.items(spark, d)).select("entity", "name")
+
+
+@query(with_("items") + " SELECT entity FROM items WHERE kind <> 'type'")
+def anti_existing(spark, d):
+    items = demo.items(spark, d)
+    return names.not_indexed(items, names.surface_forms(items.filter("kind = 'type'"))).select("entity")
+
+
+@query(with_("items", "names", "postings") + " SELECT term, p.entity, n.name, n.is_alias, tf, CAST(doc_len AS INTEGER) AS doc_len FROM postings p JOIN names n ON p.key = n.entity || chr(1) || n.name || chr(1) || n.is_alias")
+def postings(spark, d):
+    named = names.names(demo.items(spark, d))
+    return names.postings(named).join(named.select("doc_id", "entity", "name", "is_alias"), "doc_id").select("term", "entity", "name", "is_alias", F.col("tf").cast("long").alias("tf"), "doc_len")
+
+
+@query(with_("items", "names", "postings") + " SELECT term, count(*) AS df, CAST(length(term) AS INTEGER) AS term_len FROM postings GROUP BY 1")
+def vocabulary(spark, d):
+    return names.vocabulary(names.postings(names.names(demo.items(spark, d)))).select("term", "df", "term_len")
+
+
+@query(with_("items", "names") + " SELECT count(*) AS n_docs, round(avg(len(string_split(lower(name), ' '))), 9) AS avg_len FROM names")
+def corpus_stats(spark, d):
+    return names.corpus_stats(names.names(demo.items(spark, d))).select("n_docs", F.round("avg_len", 9).alias("avg_len"))
+
+
+# Lookup
+
+
+LIMIT = 20
+CLASSES = ["Q110", "Q111", "Q112", "Q125", "Q150", "Q199"]
+
+
+def _lookup_sql(out: str, where: str = "true", score: str = "bm25", fuzzy: bool = False, mention: str = "p_name", limit: int = LIMIT) -> str:
+    """Hits as ``ranked``, with features as ``featured``, one form an entity as ``best``; ``out`` selects from them."""
+    plain = "terms AS (SELECT mention, token AS term, CAST(times AS DOUBLE) AS times FROM tokens)"
+    near = """near AS (SELECT token, term, levenshtein(token, term) AS distance, CASE WHEN length(token) <= 2 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END AS most
+FROM (SELECT DISTINCT token FROM tokens) JOIN vocab ON abs(length(token) - length(term)) <= 2 WHERE distance <= most),
+terms AS (SELECT mention, term, times * (1 - distance / greatest(length(token), length(term))) AS times FROM tokens JOIN near USING (token))"""
+    grams = "list_distinct(flatten(list_transform(list_filter({}, lambda t: length(t) >= 3), lambda t: list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))))"
+    return (
+        with_("items", "names", "postings")
+        + f""", stats AS (SELECT count(*) AS n_docs, avg(len(string_split(lower(name), ' '))) AS avg_len FROM names), vocab AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+mentions AS (SELECT DISTINCT {mention} AS mention FROM part),
+tokens AS (SELECT mention, token, count(*) AS times FROM (SELECT mention, unnest(string_split(mention, ' ')) AS token FROM mentions) GROUP BY 1, 2),
+{near if fuzzy else plain},
+summed AS (SELECT mention, key, sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len)) * {1.0 if fuzzy else 2.0}) AS bm25
+FROM terms JOIN vocab USING (term) JOIN postings USING (term) CROSS JOIN stats GROUP BY 1, 2),
+scored AS (SELECT s.mention, n.*, round({score}, 9) AS score FROM summed s JOIN names n ON s.key = n.entity || chr(1) || n.name || chr(1) || n.is_alias WHERE {where}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, popularity DESC, entity, name, is_alias) AS rank FROM scored QUALIFY rank <= {limit}),
+placed AS (SELECT *, rank / count(*) OVER (PARTITION BY mention) AS pos_score, score / max(score) OVER (PARTITION BY mention) AS es_score FROM ranked),
+parts AS (SELECT *, lower(name) AS clean_name, list_distinct(string_split(mention, ' ')) AS mw, list_distinct(string_split(lower(name), ' ')) AS nw FROM placed),
+gram AS (SELECT *, {grams.format('mw')} AS mg, {grams.format('nw')} AS ng FROM parts),
+featured AS (SELECT *, 1 - levenshtein(mention, clean_name) / greatest(length(mention), length(clean_name)) AS ed_score, len(list_intersect(mw, nw)) / greatest(len(mw), len(nw), 1) AS jaccard_score,
+len(list_intersect(mg, ng)) / greatest(len(mg), len(ng), 1) AS jaccard_ngram_score FROM gram),
+best AS (SELECT *, min(rank) OVER (PARTITION BY mention, entity) AS position FROM featured QUALIFY row_number() OVER (PARTITION BY mention, entity ORDER BY round(ed_score + jaccard_score, 9) DESC, rank) = 1),
+firsts AS (SELECT mention, entity, arg_min(clean_name, rank) AS first_name FROM featured GROUP BY 1, 2),
+amb AS (SELECT mention, avg(CASE WHEN first_name = mention THEN 1.0 ELSE 0 END) AS ambiguity_mention FROM firsts GROUP BY 1),
+held AS (SELECT mention, list_distinct(flatten(list(nw))) AS words, any_value(mw) AS mw FROM featured GROUP BY 1),
+cor AS (SELECT mention, len(list_intersect(mw, words)) / len(mw) AS corrects_tokens FROM held)
+{out}"""
+    )
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_name").alias("mention_id"), F.col("p_name").alias("name")).distinct()
+
+
+def _index(spark: SparkSession, d: str) -> lookup.Index:
+    items = demo.items(spark, d)
+    return lookup.index(names.names(items), items)
+
+
+def _hits(spark, d, fuzzy=False, filters=None, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
+    mentions = _mentions(spark, d)
+    if fuzzy:
+        mentions = mentions.select(F.replace("mention_id", F.lit("e"), F.lit("a")).alias("mention_id"), F.replace("name", F.lit("e"), F.lit("a")).alias("name")).distinct()
+    cleaned = lookup.mentions_of(mentions)
+    return cleaned, lookup.hits(cleaned, _index(spark, d), limit, fuzzy, filters)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_HIT_SQL = " SELECT mention AS mention_id, entity, name, is_alias, rank, round(score, 6) AS score FROM ranked"
+
+
+def _flat_hits(ranked: DataFrame) -> DataFrame:
+    return _rounded(ranked, "score").select("mention_id", "entity", "name", "is_alias", "rank", "score")
+
+
+_CANDIDATE_SQL = """ SELECT b.mention AS mention_id, b.entity AS id, name, b.kind, b.ner_type, coalesce(b.type, '') AS types, round(ambiguity_mention, 6) AS ambiguity_mention, round(corrects_tokens, 6) AS corrects_tokens,
+len(string_split(b.mention, ' ')) AS ntoken_mention, len(string_split(name, ' ')) AS ntoken_entity, length(b.mention) AS length_mention, length(name) AS length_entity,
+round_even(b.popularity / (SELECT max(popularity) FROM items), 2) AS popularity, round(pos_score, 6) AS pos_score, round(es_score, 6) AS es_score, round(ed_score, 6) AS ed_score, round(jaccard_score, 6) AS jaccard_score,
+round(jaccard_ngram_score, 6) AS jaccard_ngram_score, position FROM best b JOIN amb USING (mention) JOIN cor USING (mention)"""
+
+
+@query(_lookup_sql(_CANDIDATE_SQL))
+def lookup_exact(spark, d):
+    """Candidates of every distinct part name, with all features."""
+    rows = lookup.lookup(_mentions(spark, d), _index(spark, d), LIMIT)
+    flat = rows.withColumn("types", joined("explicit_types")).drop("explicit_types", "extended_types", "description")
+    return _rounded(flat, "ambiguity_mention", "corrects_tokens", "pos_score", "es_score", "ed_score", "jaccard_score", "jaccard_ngram_score")
+
+
+@query(_lookup_sql(_HIT_SQL, fuzzy=True, mention="replace(p_name, 'e', 'a')"))
+def lookup_fuzzy(spark, d):
+    return _flat_hits(_hits(spark, d, fuzzy=True)[1])
+
+
+@query(_lookup_sql(_HIT_SQL, where=f"kind = 'type' AND ner_type IN ('OTHERS', 'LOC') AND list_contains(string_split(languages, ' '), 'en') AND list_contains({CLASSES}, type)"))
+def lookup_hard_filters(spark, d):
+    return _flat_hits(_hits(spark, d, filters=lookup.Filters(kind="type", ner_types=["OTHERS", "LOC"], types=CLASSES, extended_types=CLASSES, language="en"))[1])
+
+
+@query(_lookup_sql(_HIT_SQL, score=f"CASE WHEN list_contains({CLASSES}, type) THEN bm25 + 2.0 + 1.5 + 1.2 ELSE (bm25 + 2.0) * 0.1 * 0.2 END"))
+def lookup_soft(spark, d):
+    return _flat_hits(_hits(spark, d, filters=lookup.Filters(ner_types=["OTHERS"], types=CLASSES, extended_types=CLASSES, soft=True))[1])
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, entity, name, is_alias, rank, round(pos_score, 6) AS pos_score, round(es_score, 6) AS es_score FROM placed", limit=5))
+def lookup_topk(spark, d):
+    return _rounded(_hits(spark, d, limit=5)[1], "pos_score", "es_score").select("mention_id", "entity", "name", "is_alias", "rank", "pos_score", "es_score")
+
+
+_FEATURES = ["ed_score", "jaccard_score", "jaccard_ngram_score"]
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, entity, name, is_alias, rank, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FEATURES) + " FROM featured"))
+def lookup_features(spark, d):
+    return _rounded(lookup.features(*_hits(spark, d)), *_FEATURES).select("mention_id", "entity", "name", "is_alias", "rank", *_FEATURES)
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, entity, name, is_alias, rank, position FROM best"))
+def lookup_dedup(spark, d):
+    return lookup.best_forms(lookup.features(*_hits(spark, d))).select("mention_id", "entity", "name", "is_alias", "rank", "position")
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, entity, coalesce(b.type, '') AS type_id, coalesce(t.label, b.type, '') AS type_name FROM best b LEFT JOIN (SELECT entity AS e, label FROM items WHERE kind = 'type') t ON t.e = b.type"))
+def lookup_type_labels(spark, d):
+    rows = lookup.with_type_labels(lookup.best_forms(lookup.features(*_hits(spark, d))), _index(spark, d).type_labels)
+    return rows.select("mention_id", "entity", F.array_join(F.transform("types", lambda t: t["id"]), " ").alias("type_id"), F.array_join(F.transform("types", lambda t: t["name"]), " ").alias("type_name"))
+
+
+_FORCED = """ SELECT mention AS mention_id, entity AS id, name, round(pos_score, 6) AS pos_score, round(es_score, 6) AS es_score, round(ed_score, 6) AS ed_score FROM best
+UNION ALL SELECT mention, entity, label, 1.0, 1.0, round(1 - levenshtein(mention, lower(label)) / greatest(length(mention), length(label)), 6) FROM items CROSS JOIN mentions WHERE entity = 'Q61' AND (mention, entity) NOT IN (SELECT (mention, entity) FROM best)"""
+
+
+@query(_lookup_sql(_FORCED))
+def lookup_forced_ids(spark, d):
+    mentions = _mentions(spark, d)
+    wanted = mentions.select("mention_id", F.lit("Q61").alias("entity"))
+    return _rounded(lookup.lookup(mentions, _index(spark, d), LIMIT, wanted=wanted), "pos_score", "es_score", "ed_score").select("mention_id", "id", "name", "pos_score", "es_score", "ed_score")
+
+
+@query(_lookup_sql(_HIT_SQL, where="popularity > 10 AND is_alias"))
+def lookup_raw_condition(spark, d):
+    cleaned = lookup.mentions_of(_mentions(spark, d))
+    return _flat_hits(lookup.hits(cleaned, _index(spark, d), LIMIT, where="popularity > 10 AND is_alias"))
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, round(ambiguity_mention, 6) AS ambiguity_mention, round(corrects_tokens, 6) AS corrects_tokens FROM amb JOIN cor USING (mention)"))
+def ambiguity(spark, d):
+    return _rounded(lookup.ambiguity(*_hits(spark, d)), "ambiguity_mention", "corrects_tokens")
+
+
+# Classification
+
+
+_TOKENS = """tokens AS (SELECT DISTINCT literal FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+')) AS literal FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT CAST(l_partkey AS VARCHAR) FROM lineitem
+UNION ALL SELECT CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) FROM lineitem UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT strftime(ts, '%Y-%m-%dT%H:%M') FROM events UNION ALL SELECT strftime(ts, '%H:%M') FROM events))"""
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    line, events = table(spark, d, "lineitem"), table(spark, d, "events")
+    parts = [
+        table(spark, d, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("literal")), table(spark, d, "pages").select("url"), line.select(F.col("l_partkey").cast("string")),
+        line.select(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")), table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        events.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm")), events.select(F.date_format("ts", "HH:mm")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.distinct()
+
+
+def _class_sql(column: str) -> str:
+    quoted = {name: pattern.replace("'", "''") for name, pattern in L.PATTERNS.items()}
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){p}') THEN '{n}'" for n, p in quoted.items()) + " ELSE 'STRING' END"
+
+
+def _described_sql(column: str, field: int) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN '{v[field]}'" for k, v in L.CLASSES.items()) + " END"
+
+
+@query(f"WITH {_TOKENS} SELECT literal, {_class_sql('literal')} AS datatype FROM tokens")
+def literal_classify(spark, d):
+    return _tokens(spark, d).select("literal", L.literal_class(F.col("literal")).alias("datatype"))
+
+
+@query(f"WITH {_TOKENS}, c AS (SELECT literal, {_class_sql('literal')} AS datatype FROM tokens) SELECT literal, datatype, {_described_sql('datatype', 0)} AS classification, {_described_sql('datatype', 1)} AS tag, {_described_sql('datatype', 2)} AS xml_datatype FROM c")
+def literal_datatypes(spark, d):
+    return classify.literals(_tokens(spark, d))
+
+
+def _value_sql(column: str) -> str:
+    return f"CASE WHEN regexp_matches({column}, '{L.ISO}') THEN 'DATETIME' WHEN regexp_matches({column}, '{L.NUMBER}') THEN 'NUMBER' ELSE 'STRING' END"
+
+
+@query(f"WITH {_TOKENS} SELECT literal, {_value_sql('literal')} AS datatype FROM tokens")
+def value_typing(spark, d):
+    return _tokens(spark, d).select("literal", L.value_type(F.col("literal")).alias("datatype"))
+
+
+_CELLS = """cells AS (SELECT 'customer' AS table_id, unnest(['id', 'name', 'balance', 'segment', 'empty']) AS col_id, unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR), c_mktsegment, '']) AS value FROM customer
+UNION ALL SELECT 'orders', unnest(['id', 'status', 'date']), unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y-%m-%d')]) FROM orders)"""
+
+
+@query(
+    f"""WITH {_CELLS}, votes AS (SELECT table_id, col_id, CASE WHEN trim(value) = '' THEN NULL ELSE replace({_described_sql(_class_sql('value').join('()'), 0)}, 'DATETIME', 'DATE') END AS vote FROM cells),
+n AS (SELECT table_id, col_id, vote, count(*) AS n FROM votes GROUP BY 1, 2, 3), b AS (SELECT table_id, col_id, arg_max(vote, n) FILTER (vote IS NOT NULL) AS vote, max(n) FILTER (vote IS NOT NULL) AS n, sum(n) FILTER (vote IS NOT NULL) AS total FROM n GROUP BY 1, 2)
+SELECT table_id, col_id, coalesce(vote, 'UNKNOWN') AS classification, CASE WHEN vote IS NULL THEN 'UNKNOWN' ELSE 'LIT' END AS tag, coalesce(vote, 'UNKNOWN') AS datatype, round(coalesce(n / total, 0), 9) AS probability FROM b"""
+)
+def column_analysis(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    customer = c.select(F.lit("customer").alias("table_id"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("balance"), F.col("c_mktsegment").alias("segment"), F.lit("").alias("empty"))
+    orders = o.select(F.lit("orders").alias("table_id"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    cells = customer.unpivot("table_id", customer.columns[1:], "col_id", "value").union(orders.unpivot("table_id", orders.columns[1:], "col_id", "value"))
+    return classify.columns(cells).withColumn("probability", F.round("probability", 9))
+
+
+@query()
+def entity_recognition(spark, d):
+    return classify.recognise(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+# Loading
+
+
+_CSV = """extra AS (SELECT 'c' || l_suppkey AS permalink, 'about ' || l_suppkey AS description, count(*) AS rank FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+
+
+def _company_csv(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, d, "supplier")
+    main = s.select(F.concat(F.lit("c"), "s_suppkey").alias("permalink"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("balance"), F.lit("2020-01-02").alias("founded"))
+    extra = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").cast("double").alias("rank"))
+    return main, extra.select(F.concat(F.lit("c"), "l_suppkey").alias("permalink"), F.concat(F.lit("about "), "l_suppkey").alias("description"), "rank")
+
+
+@query(f"WITH {_CSV} SELECT 'c' || s_suppkey AS entity, coalesce(description, '') AS description, coalesce(rank, 0) AS popularity, s_name AS label, 'ORG' AS ner_type FROM supplier LEFT JOIN extra ON permalink = 'c' || s_suppkey")
+def csv_enrich(spark, d):
+    main, extra = _company_csv(spark, d)
+    return company_csv.items(main, company_csv.latest_extra(extra, "rank")).select("entity", "description", "popularity", F.col("labels")["en"].alias("label"), "ner_type")
+
+
+@query("SELECT 'c' || s_suppkey AS subject, 'balance' AS predicate, 'NUMBER' AS datatype, CAST(CAST(s_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS value FROM supplier UNION ALL SELECT 'c' || s_suppkey, 'founded', 'DATETIME', '2020-01-02' FROM supplier")
+def csv_literals(spark, d):
+    return company_csv.literals(_company_csv(spark, d)[0]).drop("pos")
+
+
+def _dump(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and parts as lines of a dump, between the brackets of its array."""
+    target = lambda q: F.to_json(F.struct(q.alias("id")))
+    claim = lambda p, kind, v: F.struct(F.struct(F.lit(p).alias("property"), F.lit(kind).alias("datatype"), F.struct(v.alias("value")).alias("datavalue")).alias("mainsnak"))
+    said = lambda v: F.create_map(F.lit("en"), F.struct(F.lit("en").alias("language"), v.alias("value")))
+
+    def line(df, entity, label, claims, sites):
+        columns = {"id": entity, "type": F.lit("item"), "labels": said(label), "descriptions": said(F.concat(F.lit("about "), label)), "claims": claims, "sitelinks": sites}
+        return df.select(F.concat(F.to_json(F.struct(*[v.alias(k) for k, v in columns.items()])), F.lit(",")).alias("value"))
+
+    # The text of a value is JSON itself, as a claim's value is an object; to_json would quote it, so its quotes are undone.
+    site = lambda title: F.create_map(F.lit("enwiki"), F.struct(F.lit("enwiki").alias("site"), title.alias("title")))
+    none = F.create_map().cast("map<string,struct<site:string,title:string>>")
+    amount = lambda v: F.to_json(F.struct(v.alias("amount")))
+    c = line(table(spark, d, "customer"), demo.qid(demo.CUSTOMER, "c_custkey"), F.col("c_name"), F.create_map(F.lit("P31"), F.array(claim("P31", "wikibase-item", target(demo.qid(demo.NATION, "c_nationkey")))), F.lit("P10"), F.array(claim("P10", "quantity", amount(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))))), none)
+    p = line(table(spark, d, "part"), demo.qid(demo.PART, "p_partkey"), F.col("p_name"), F.create_map(F.lit("P279"), F.array(claim("P279", "wikibase-item", target(demo.qid(demo.PART, F.expr("p_partkey div 2")))))), site(F.col("p_name")))
+    brackets = spark.createDataFrame([("[",), ("]",), ("{broken,",)], "value string")
+    text = c.union(p).select(F.replace(F.regexp_replace("value", r'"value":"(\{.*?\})"', '"value":$1'), F.lit('\\"'), F.lit('"')).alias("value"))
+    return dump.parsed(brackets.union(text))
+
+
+@query(
+    "SELECT 'Q2' || c_custkey AS entity, 'entity' AS kind, 'about ' || c_name AS description, 1 AS popularity, c_name AS label, 'Q4' || c_nationkey AS explicit_types, '' AS wikipedia FROM customer "
+    "UNION ALL SELECT 'Q1' || p_partkey, 'type', 'about ' || p_name, 1, p_name, 'Q1' || (p_partkey // 2), 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') FROM part"
+)
+def dump_items(spark, d):
+    return dump.items(_dump(spark, d)).select("entity", "kind", "description", "popularity", F.col("labels")["en"].alias("label"), joined("explicit_types"), F.col("urls")["wikipedia"].alias("wikipedia"))
+
+
+@query("SELECT 'Q2' || c_custkey AS subject, 'P31' AS predicate, 'Q4' || c_nationkey AS object FROM customer UNION ALL SELECT 'Q1' || p_partkey, 'P279', 'Q1' || (p_partkey // 2) FROM part")
+def dump_edges(spark, d):
+    return dump.edges(_dump(spark, d)).drop("pos")
+
+
+@query("SELECT 'Q2' || c_custkey AS subject, 'P10' AS predicate, 'NUMBER' AS datatype, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS value FROM customer")
+def dump_literals(spark, d):
+    return dump.literals(_dump(spark, d)).drop("pos")
+
+
+@query("SELECT 'Q2' || c_custkey AS child, 'Q4' || c_nationkey AS parent, 'P31' AS property FROM customer UNION ALL SELECT 'Q1' || p_partkey, 'Q1' || (p_partkey // 2), 'P279' FROM part")
+def dump_type_edges(spark, d):
+    return dump.type_edges(_dump(spark, d))
+
+
+@query("SELECT DISTINCT 'Q5' || l_orderkey AS child, 'Q1' || l_partkey AS parent FROM lineitem")
+def edge_dedup(spark, d):
+    return table(spark, d, "lineitem").select(demo.qid(demo.ORDER, "l_orderkey").alias("child"), demo.qid(demo.PART, "l_partkey").alias("parent")).dropDuplicates()
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def keep_latest(spark, d):
+    return names.keep_latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", F.col("event_id"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicated_keys(spark, d):
+    return names.duplicated(table(spark, d, "lineitem"), "l_orderkey")
+
+
+_DATABASES = [("kgdemo01012024", "DONE"), ("kgdemo15062024", "DONE"), ("kgdemo31122024", "DOING"), ("other05052020", "DONE")]
+
+
+@query("SELECT * FROM (VALUES ('kgdemo', 'kgdemo15062024', DATE '2024-06-15'), ('other', 'other05052020', DATE '2020-05-05')) t(kg, name, date)")
+def snapshot_latest(spark, d):
+    return snapshots.resolved(spark.createDataFrame(_DATABASES, "name string, status string"))

@@ -9,38 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "january february march april may june july august september october november dicember".split()
-UNITS = "km km2 m sq mi cm cm2 mm dm ft".split()
-SCALES = "thousand million billion trillion".split()
-
-
-def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-def patterns(digit: str = r"\d") -> dict[str, str]:
-    """Pattern of each class in the order in which they are tried."""
-    d, sep, dash, sign, blank = digit, r"[.,\s/]+", r"[-./]", "[-+]?", "[ –-]"
-    point, month, unit, scale = "[,.]", _any(MONTHS), _any(UNITS), _any(SCALES)
-    day, year = f"{d}{{1,2}}", f"{d}{{4}}"
-    clock = r"(?:24:00|2[0-3]:[0-5][0-9]|[01][0-9]:[0-5][0-9])"
-    decimal = f"{d}+{point}{d}+"
-    dates = [
-        rf"{d}{{1,4}}[,.\s]+bc", f"{year}{dash}{day}{dash}{day}", f"{day}{dash}{day}{dash}(?:{year}|{d}{{2}})",
-        f"{month}{sep}(?:{day}{sep})?{year}", f"{day}{sep}{month}{sep}{year}", f"{year}{sep}{month}(?:{sep}{day})?", f"{year}{sep}{day}{sep}{month}",
-        f"{decimal}(?:{point}{d}+){{0,2}}", f"{year}[–-](?:{year}|present|now)", f"{d}+",
-    ]
-    return {
-        "DATETIME": f"^{year}{dash}{day}{dash}{day}T{clock}$",
-        "TIME": f"^{clock}$",
-        "URL": r"^(?:https?://)?[a-zA-Z0-9./?:@_=#-]+\.[a-zA-Z]{2,6}[a-zA-Z0-9.&/?:@_=#-]$",
-        "EMAIL": r"^\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b$",
-        "FLOAT": f"^{sign}{decimal}(?:[eE][-+]{d}+)?$|^(?:{sign}{decimal}|{d}+)[ ]+{unit}",
-        "INTEGER": f"^{sign}{d}+$|^(?:{d}+|{decimal}){blank}{scale}$",
-        "DATE": "|".join(f"^{x}$" for x in dates),
-    }
-
-
+# The patterns that define the classes, in the order in which they are tried, and what each class maps to.
+DATETIME = r"^\d{4}[-.\/]\d{1,2}[-.\/]\d{1,2}T(24:00|2[0-3]:[0-5][0-9]|[0-1][0-9]:[0-5][0-9])$"
+TIME = r"^(24:00|2[0-3]:[0-5][0-9]|[0-1][0-9]:[0-5][0-9])$"
+URL = r"^((http|https)\:\/\/)?[a-zA-Z0-9\.\/\?\:@\-_=#]+\.([a-zA-Z]){2,6}([a-zA-Z0-9\.\&\/\?\:@\-_=#])$"
+EMAIL = r"^\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b$"
+FLOAT = (
+    r"^[-+]?\d+[\,\.]\d+$|"
+    r"^[-+]?\d+[\,\.]\d+[eE][-+]\d+$|"
+    r"^[-+]?\d+[\,\.]\d+[ ]+(km|km2|m|sq|mi|cm|cm2|mm|dm|ft)|"
+    r"^\d+[ ]+(km|km2|m|sq|mi|cm|cm2|mm|dm|ft)"
+)
+INTEGER = (
+    r"^[-+]?\d+$|"
+    r"^\d+[ –-](thousand|million|billion|trillion)$|"
+    r"^\d+[\,\.]\d+[ –-](thousand|million|billion|trillion)$"
+)
+DATE = (
+    r"^\d{1,4}[\,\.\s\t\n]+bc$|"
+    r"^\d{4}[-.\/]\d{1,2}[-.\/]\d{1,2}$|"
+    r"^\d{1,2}[-.\/]\d{1,2}[-.\/]\d{4}$|"
+    r"^\d{1,2}[-.\/]\d{1,2}[-.\/]\d{2}$|"
+    r"^(january|february|march|april|may|june|july|august|september|october|november|dicember)[\.\,\s\t\n\/]+\d{1,2}[\.\,\s\t\n\/]+\d{4}$|"
+    r"^\d{1,2}[\.\,\s\t\n\/]+(january|february|march|april|may|june|july|august|september|october|november|dicember)[\.\,\s\t\n\/]+\d{4}$|"
+    r"^\d{4}[\.\,\s\t\n\/]+(january|february|march|april|may|june|july|august|september|october|november|dicember)[\.\,\s\t\n\/]+\d{1,2}$|"
+    r"^\d{4}[\.\,\s\t\n\/]+\d{1,2}[\.\,\s\t\n\/]+(january|february|march|april|may|june|july|august|september|october|november|dicember)$|"
+    r"^(january|february|march|april|may|june|july|august|september|october|november|dicember)[\.\,\s\n\t\/]+\d{4}$|"
+    r"^\d{4}[\.\,\s\n\t\/]+(january|february|march|april|may|june|july|august|september|october|november|dicember)$|"
+    r"^\d+[\.\,]\d+[\.\,]\d+[\.\,]\d+$|"
+    r"^\d+[\.\,]\d+[\.\,]\d+$|"
+    r"^\d+[\.\,]\d+$|"
+    r"^\d{4}[–-]\d{4}$|"
+    r"^\d{4}[–-](present|now)$|"
+    r"^\d{4}$|"
+    r"^\d+$"
+)
+PATTERNS = {"DATETIME": DATETIME, "TIME": TIME, "URL": URL, "EMAIL": EMAIL, "FLOAT": FLOAT, "INTEGER": INTEGER, "DATE": DATE}
 #: class -> (group, tag, XML type)
 CLASSES = {
     "DATE": ("DATETIME", "LIT", "xsd:date"), "DATETIME": ("DATETIME", "LIT", "xsd:dateTime"), "TIME": ("DATETIME", "LIT", "xsd:time"), "URL": ("STRING", "LIT", "xs:anyURI"),
@@ -50,7 +54,7 @@ CLASSES = {
 
 def literal_class(token: Column) -> Column:
     found = None
-    for name, pattern in patterns().items():
+    for name, pattern in PATTERNS.items():
         hit = token.rlike("(?iuU)" + pattern)
         found = F.when(hit, name) if found is None else found.when(hit, name)
     return found.otherwise("STRING")

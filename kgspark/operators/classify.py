@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import literals as L
+from kgspark.plans.tables import shipped
 
 LITERAL_KINDS, ENTITY_KINDS = ("NUMBER", "DATE", "STRING"), ("PERSON", "ORGANIZATION", "LOCATION", "OTHER")
 
@@ -39,14 +44,27 @@ def tag_of(name):
     return F.when(name.isin(*LITERAL_KINDS), "LIT").when(name.isin(*ENTITY_KINDS), "NE").otherwise("UNKNOWN")
 
 
-def recognise(texts: DataFrame) -> DataFrame:
-    """(text_id, mention, label, start, end): runs of capitalised words, a fallback without a language model.
+CAPITALISED = regex.compile(r"\p{Lu}[\p{L}\p{M}'’-]*(?: \p{Lu}[\p{L}\p{M}'’-]*)*")
+
+
+def capitalised(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """Runs of capitalised words as (mention, OTHER, start, end): what can be told without a language model."""
+    for found in CAPITALISED.finditer(text):
+        yield found.group(), "OTHER", found.start(), found.end()
+
 
-    The label is OTHER; offsets are characters from 0, end exclusive.  A function over a model can take its place.
+def recognise(texts: DataFrame, model: Callable[[str], Iterable[tuple[str, str, int, int]]] = capitalised) -> DataFrame:
+    """(text_id, mention, label, start, end) of (text_id, text); offsets are characters from 0, the end exclusive.
+
+    ``model`` runs on the executors and can be a language model's function.  A null text has no mentions.
     """
-    runs = F.regexp_extract_all("text", F.lit(r"((?:\p{Lu}[\p{L}\p{M}'’-]*)(?:[ ](?:\p{Lu}[\p{L}\p{M}'’-]*))*)"), F.lit(1))
-    pieces = texts.select("text_id", "text", F.posexplode(runs).alias("k", "mention"), runs.alias("runs"))
-    # Where the k-th run starts: after the k runs before it, searched one by one.
-    start = F.aggregate(F.slice("runs", F.lit(1), F.col("k")), F.lit(1), lambda pos, m: F.call_function("locate", m, F.col("text"), pos) + F.length(m))
-    found = pieces.withColumn("start", F.call_function("locate", F.col("mention"), F.col("text"), start) - 1)
-    return found.select("text_id", "mention", F.lit("OTHER").alias("label"), "start", (F.col("start") + F.length("mention")).alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_id, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = list(model(text or ""))
+                if found:
+                    mention, label, start, end = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([text_id] * len(found), pa.int64()), pa.array(mention, pa.string()), pa.array(label, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["text_id", "mention", "label", "start", "end"])
+
+    return shipped(texts.select(F.col("text_id").cast("long").alias("text_id"), "text")).mapInArrow(run, "text_id long, mention string, label string, start int, end int")

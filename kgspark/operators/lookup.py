@@ -2,7 +2,7 @@
 
 Scores are BM25 (k1 1.2, b 0.75, statistics of the whole index).  A mention's words meet the postings in a join on the
 term; scores are summed by (mention, name) and the best ``limit`` names of each mention are kept.  Ties go to the more
-popular name, then the smaller document id, on scores rounded to nine digits, so that ranks do not hang on the order of
+popular name, then by entity, name and kind of name, on scores rounded to nine digits, so that ranks do not hang on the order of
 summation.
 """
 
@@ -17,6 +17,7 @@ from kgspark.functions import text as T
 from kgspark.operators import names as N
 
 K1, B = 1.2, 0.75
+# Boosts and penalties of clauses.
 EXACT_BOOST, NER_BOOST, TYPE_BOOST, EXTENDED_BOOST = 2.0, 2.0, 1.5, 1.2
 TYPE_PENALTY, EXTENDED_PENALTY = 0.1, 0.2
 
@@ -101,7 +102,7 @@ def hits(cleaned: DataFrame, ix: Index, limit: int, fuzzy: bool = False, filters
     scored = known.groupBy("mention_id", "doc_id").agg(F.sum(F.col("times") * weight * (1.0 if fuzzy else EXACT_BOOST)).alias("bm25"))
     rows = filtered(scored.join(ix.names, "doc_id"), filters, where).withColumn("score", F.round("score", 9))
     of = Window.partitionBy("mention_id")
-    ranked = rows.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), F.desc("popularity"), "doc_id"))).filter(F.col("rank") <= limit)
+    ranked = rows.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), F.desc("popularity"), "entity", "name", "is_alias"))).filter(F.col("rank") <= limit)
     pos, es = F.col("rank") / F.count("*").over(of), F.col("score") / F.max("score").over(of)
     return ranked.withColumns({"pos_score": pos, "es_score": es if normalize else F.col("score"), "popularity_out": F.col("popularity_norm") if normalize else F.col("popularity").cast("double")})
 
@@ -169,7 +170,7 @@ def forced(cleaned: DataFrame, found: DataFrame, wanted: DataFrame, ix: Index, n
     """Rows for wanted ids (mention_id, entity) that the result lacks: the English label, with full position and score."""
     missing = wanted.select("mention_id", "entity").distinct().join(found.select("mention_id", "entity"), ["mention_id", "entity"], "left_anti")
     labels = ix.names.filter(F.array_contains("languages", "en") & ~F.col("is_alias"))
-    one = missing.join(labels, "entity").withColumn("turn", F.row_number().over(Window.partitionBy("mention_id", "entity").orderBy("doc_id"))).filter("turn = 1").drop("turn")
+    one = missing.join(labels, "entity").withColumn("turn", F.row_number().over(Window.partitionBy("mention_id", "entity").orderBy("name"))).filter("turn = 1").drop("turn")
     pop = F.col("popularity_norm") if normalize else F.col("popularity").cast("double")
     rows = one.withColumns({"bm25": F.lit(1.0), "score": F.lit(1.0), "rank": F.lit(2**31 - 1), "pos_score": F.lit(1.0), "es_score": F.lit(1.0), "popularity_out": pop})
     return features(cleaned, rows).withColumn("position", F.lit(2**31 - 1))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """Sends this package to the Python workers once a session, so that they need not have it installed."""
+    context = df.sparkSession.sparkContext
+    if getattr(context, "_kgspark_sent", None) is None:
+        folder, top = tempfile.mkdtemp(prefix="kgspark-"), Path(__file__).resolve().parents[2]
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it lives
+        with zipfile.ZipFile(f"{folder}/kgspark-core.zip", "w") as z:
+            for path in sorted((top / "kgspark").rglob("*.py")):
+                z.write(path, path.relative_to(top))
+        context.addPyFile(f"{folder}/kgspark-core.zip")
+        context._kgspark_sent = True
+    return df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kgspark import schema
 
+# Datatypes and their buckets, datatypes of claims, class ids of the public knowledge base.
 BUCKETS = {
     "external-id": "STRING", "quantity": "NUMBER", "globe-coordinate": "STRING", "string": "STRING", "monolingualtext": "STRING", "commonsMedia": "STRING", "time": "DATETIME", "url": "STRING",
     "geo-shape": "GEOSHAPE", "math": "MATH", "musical-notation": "MUSICAL_NOTATION", "tabular-data": "TABULAR_DATA",
