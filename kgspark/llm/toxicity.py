@@ -41,7 +41,7 @@ NOISE = 2
 PART_BYTES = 6
 ORDINARY_WORDS = 800
 DICTIONARY = 32_768
-CODES = 500_000
+CODES, CONTEXTS_AT_ONCE = 200_000, 200_000
 EDGES = ".,;:!?|#$%&*\"'()[]{}<>=-_/\\+~`^@"
 
 
@@ -115,17 +115,26 @@ def features(model: Model, text: str | None) -> tuple[float, ...]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (key, context, label) of a batch; the context is the word before."""
+    """(key, context, label), distinct within CONTEXTS_AT_ONCE of them; the context is the word before."""
+
+    def rows(found: set[tuple[str, int, int]]) -> pa.RecordBatch:
+        key, context, label = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(context, pa.int64()), pa.array(label, pa.int32())], names=["key", "context", "label"])
+
     for batch in batches:
         found: set[tuple[str, int, int]] = set()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+        texts = batch.column("text")
+        for k, label in enumerate(batch.column("label").to_pylist()):
             before = ""
-            for word in words_of(text):
+            for word in words_of(texts[k].as_py()):
                 context = xxhash.xxh32_intdigest(before)
                 found.update((key, context, label) for key in keys_of(word))
                 before = word
-        rows = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["key", "context", "label"])
+                if len(found) >= CONTEXTS_AT_ONCE:
+                    yield rows(found)
+                    found = set()
+        if found:
+            yield rows(found)
 
 
 def trained_content(codes: list[bytes]) -> bytes:
