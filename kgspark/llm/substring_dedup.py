@@ -9,8 +9,8 @@ anchor are a segment.  Equal windows elect equal anchors, so a repeated window l
  * under an anchor with different segments, single windows are compared, by two independent 64-bit hashes of their
    words taken from the texts again, once for each different segment.
 So about one row for fifteen windows is dealt instead of one for each.  Results depend on texts alone, so documents are
-keyed by their text, and exact copies within a batch of rows are one fingerprint with a count: large groups of copies
-are summed before any shuffle.  Joins of occurrences with what is known of an anchor leave hot anchors to AQE's splits.
+keyed by their text, and exact copies within a batch of rows are one fingerprint with a count.  Equal segments of a batch
+of rows are one row with the list of their spots, so that what many documents share is gathered before any shuffle.
 
 Index.  ``FingerprintIndex`` keeps the segments of all batches as immutable runs of sorted files.  A new batch is
 written as a run, merge-joined with the older ones, and what is open is verified on words; ``compact`` merges the runs
@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.shared import WordHashes, gram_hashes, scratch, shipped, signed, span_hashes, table, written
@@ -35,9 +36,9 @@ from kgspark.llm.shared import WordHashes, gram_hashes, scratch, shipped, signed
 WORDS, GRAM = 35, 6
 FAN_IN = 4
 SEGMENT_BASE, CHECK_BASE, WINDOW_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D
-SEGMENTS = "anchor long, content long, text_hash long, size int, id long, start int, n int, copies int"
-NAMES = ["anchor", "content", "text_hash", "size", "id", "start", "n", "copies"]
-TYPES = [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.int32]
+SEGMENTS = "anchor long, content long, copies int, spots array<long>"
+#: A spot is four numbers: the hash of the text, an id of a document that has it, its length and the first word, windows.
+SPOT, SPOTS_A_ROW = 4, 4096
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _segments(words: int, gram: int):
             seen: dict[tuple[int, int], list[int]] = {}
             for k, key in enumerate(zip(batch.column("text_hash").to_pylist(), batch.column("size").to_pylist(), strict=True)):
                 seen.setdefault(key, []).append(k)
-            out: list[list[np.ndarray]] = [[] for _ in NAMES]
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
             ids, texts = batch.column("id").to_pylist(), batch.column("text")
             for (text_hash, size), rows in seen.items():
                 h = hashes.of((texts[rows[0]].as_py() or "").encode("utf-8", "replace").split())
@@ -64,15 +65,27 @@ def _segments(words: int, gram: int):
                 n = np.diff(np.append(first, len(at)))
                 content = span_hashes(h, first, first + n - 1 + words, SEGMENT_BASE) + mixed_place(at[first] - first)
                 m = len(first)
-                columns = (signed(g[at[first]]), signed(content), np.full(m, text_hash), np.full(m, size), np.full(m, min(ids[k] for k in rows)), first, n, np.full(m, len(rows)))
-                for column, x in zip(out, columns, strict=True):
+                spots = np.stack([np.full(m, text_hash), np.full(m, min(ids[k] for k in rows)), (size << 32) + first, n], 1)
+                for column, x in zip(out, (signed(g[at[first]]), signed(content), np.full(m, len(rows)), spots), strict=True):
                     column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, TYPES, strict=True)], names=NAMES)
+                yield gathered(*map(np.concatenate, out))
 
     return run
 
 
+def gathered(anchor: np.ndarray, content: np.ndarray, copies: np.ndarray, spots: np.ndarray) -> pa.RecordBatch:
+    """One row for equal segments, with their spots: SPOTS_A_ROW at most, then another row."""
+    order = np.lexsort((content, anchor))
+    anchor, content = anchor[order], content[order]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+    group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    first = np.flatnonzero((np.arange(len(order)) - group) % SPOTS_A_ROW == 0)
+    edges = pa.array(np.append(first, len(order)) * SPOT, pa.int32())
+    lists = pa.ListArray.from_arrays(edges, pa.array(spots[order].astype(np.int64).reshape(-1)))
+    return pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(content[first]), pa.array(np.add.reduceat(copies[order], first).astype(np.int32)), lists], names=["anchor", "content", "copies", "spots"])
+
+
 def mixed_place(x: np.ndarray) -> np.ndarray:
     """The anchor's place in its segment, spread over 64 bits."""
     return x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -99,8 +112,12 @@ def _open_windows(words: int):
         hashes = WordHashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for text, segments in zip(batch.column("text").to_pylist(), batch.column("segments").to_pylist(), strict=True):
-                h = hashes.of((text or "").encode("utf-8", "replace").split())
+            texts, rows = batch.column("text"), batch.column("segments")
+            for k, id_ in enumerate(batch.column("id").to_pylist()):
+                segments = [s for s in rows[k].as_py() if s["of"] == id_]
+                if not segments:
+                    continue
+                h = hashes.of((texts[k].as_py() or "").encode("utf-8", "replace").split())
                 n = np.array([s["n"] for s in segments], np.int64)
                 first = np.array([s["start"] for s in segments], np.int64)
                 offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -144,8 +161,8 @@ class FingerprintIndex:
         while any(x >= level for x, _ in self.runs):
             due = [path for x, path in self.runs if x == level]
             if len(due) >= FAN_IN:
-                merged = self.read(due).groupBy(*[c for c in NAMES if c != "copies"]).agg(F.sum("copies").cast("int").alias("copies")).select(*NAMES)
-                self._write(merged.repartitionByRange("anchor", "content", "text_hash", "start").sortWithinPartitions("anchor", "content"), level + 1)
+                merged = self.read(due).repartitionByRange("anchor", "content", F.col("spots")[0], F.col("spots")[2])
+                self._write(merged.sortWithinPartitions("anchor", "content"), level + 1)
                 self.runs = [(x, path) for x, path in self.runs if path not in due]  # files of old runs stay for jobs that read them
             level += 1
 
@@ -155,26 +172,37 @@ class FingerprintIndex:
         ``documents``: keyed texts of all runs, read for open anchors.
         """
         older = [path for _, path in self.runs if path != batch]
-        fresh = self.read([batch])
-        every = fresh.withColumn("fresh", F.lit(True))
+        every = self.read([batch])
+        often = [F.sum("copies") > 1]
         if older:
-            every = every.unionByName(self.read(older).withColumn("fresh", F.lit(False)))
-        by_anchor = every.groupBy("anchor").agg(F.sum("copies").alias("all"), (F.min("content") != F.max("content")).alias("open"), F.max("fresh").alias("asked"))
-        shared = written(every.join(by_anchor.filter("all > 1 AND asked").select("anchor", "open"), "anchor"), "shared")
-        whole = shared.filter("NOT open AND fresh").select("text_hash", "size", "start", "n")
+            every = every.withColumn("fresh", F.lit(True)).unionByName(self.read(older).withColumn("fresh", F.lit(False)))
+            often.append(F.max("fresh"))
+        asked = every.groupBy("anchor").agg(reduce(Column.__and__, often).alias("asked")).filter("asked").select("anchor")
+        by_anchor = Window.partitionBy("anchor")  # as the join has dealt them
+        joined = every.join(asked, "anchor").withColumn("open", F.min("content").over(by_anchor) != F.max("content").over(by_anchor))
+        shared = written(joined if older else joined.withColumn("fresh", F.lit(True)), "shared")
         open_ = shared.filter("open")
-        kinds = open_.groupBy("anchor", "content").agg(F.sum("copies").alias("all"), F.min(F.struct("text_hash", "size", "id", "start", "n")).alias("one"))
-        asked = kinds.groupBy("one.text_hash", "one.size", "one.id").agg(F.collect_list(F.struct("one.start", "one.n", "anchor", "content")).alias("segments"))
-        texts = documents.select("text_hash", "size", "id", "text").join(asked.hint("shuffle_hash"), ["text_hash", "size", "id"])
-        windows = texts.select("text", "segments").mapInArrow(_open_windows(self.words), "window long, check long, anchor long, content long, offset int")
+        kinds = open_.groupBy("anchor", "content").agg(F.sum("copies").alias("all"), F.min(F.slice("spots", 1, SPOT)).alias("one"))
+        one = kinds.select("anchor", "content", *_spot(F.col("one"), F.lit(0)))
+        wanted = one.groupBy("text_hash", "size").agg(F.collect_list(F.struct("start", "n", "anchor", "content", F.col("id").alias("of"))).alias("segments"))
+        # All columns go along, and ids are compared later, so that this reads the shuffle that ``with_stretches`` makes.
+        texts = documents.join(wanted.hint("shuffle_hash"), ["text_hash", "size"])
+        windows = texts.mapInArrow(_open_windows(self.words), "window long, check long, anchor long, content long, offset int")
         same = Window.partitionBy("window", "check")
         # A text that stands twice under one id is read twice: the same window of the same segment counts once.
         counted = windows.repartition("window", "check").dropDuplicates().withColumn("k", F.count("*").over(same)).filter("k > 1")
         offsets = counted.groupBy("anchor", "content").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
         judged = kinds.select("anchor", "content", "all").join(offsets, ["anchor", "content"], "left").filter("all > 1 OR offsets IS NOT NULL")
-        hits = open_.filter("fresh").join(judged, ["anchor", "content"])
-        spots = hits.select("text_hash", "size", F.explode(F.when(F.col("all") > 1, F.array(F.struct("start", "n"))).otherwise(F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n"))))).alias("x")).select("text_hash", "size", "x.start", "x.n")
-        return whole.unionByName(spots).groupBy("text_hash", "size").agg(F.collect_set(F.struct("start", "n")).alias("stretches"))
+        hits = open_.filter("fresh").join(judged, ["anchor", "content"]).select("spots", F.when(F.col("all") == 1, F.col("offsets")).alias("offsets"))
+        every = shared.filter("NOT open AND fresh").select("spots", F.lit(None).cast("array<int>").alias("offsets")).unionByName(hits)
+        spots = every.select("spots", "offsets", F.explode(F.sequence(F.lit(0), F.size("spots") - SPOT, F.lit(SPOT))).alias("at")).select("offsets", *_spot(F.col("spots"), F.col("at")))
+        stretch = F.coalesce(F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n"))), F.array(F.struct("start", "n")))
+        return spots.select("text_hash", "size", F.explode(stretch).alias("x")).groupBy("text_hash", "size").agg(F.collect_set("x").alias("stretches"))
+
+
+def _spot(spots: Column, at: Column) -> list[Column]:
+    place = spots[at + 2]
+    return [spots[at].alias("text_hash"), spots[at + 1].alias("id"), F.shiftright(place, 32).cast("int").alias("size"), place.bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), spots[at + 3].cast("int").alias("n")]
 
 
 def _kept(words: int):
@@ -212,7 +240,7 @@ def with_stretches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = with_stretches(docs.select("doc_id", "text"), words)
-    return found.select("doc_id", "text", "stretches").mapInArrow(_kept(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(_kept(words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -230,7 +258,7 @@ def removed(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     # The other columns travel in a struct, so that no name of theirs clashes.
     found = with_stretches(docs.select("doc_id", "text", F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in columns]).alias("row")), words)
-    return found.select("text", "stretches", "row").mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, docs.schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
