@@ -108,9 +108,9 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
         hit = [place[g] for g in features_of(text) if g in place]
         x[k, hit] = 1 / np.sqrt(len(hit)) if hit else 0
     y = np.eye(len(kinds))[[kinds.index(f) for _, f in rows]]
-    w, b, rate, shrink = np.zeros((len(grams), len(kinds))), np.zeros(len(kinds)), 4.0, 2e-5
+    w, b, rate, shrink = np.zeros((len(grams), len(kinds))), np.zeros(len(kinds)), 8.0, 2e-6
     share = np.where(y[train][:, :1] > 0, len(train) / 4 / max(1, y[train][:, 0].sum()), 1.0)  # the unknown class weighs a quarter of all
-    for _ in range(300):
+    for _ in range(2000):
         z = x[train] @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p = (p / p.sum(1, keepdims=True) - y[train]) * share / share.sum()
@@ -126,12 +126,13 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
 
 
 def templates() -> dict[str, list[list[str]]]:
-    """For each family the word pairs of its names and notices (a name of one word: the word with its frame's)."""
+    """For each family the word pairs of its names and notices (a name of one word: with the word before it)."""
     found: dict[str, list[list[str]]] = {}
     for family in NAMES:
         texts = [*NAMES[family], *NOTICES.get(family, [])]
         pairs = [sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)}) for w in map(words_of, texts)]
-        found[family] = [p for p in pairs if p] or [["license " + family.lower()]]
+        single = {w[0] for w in map(words_of, [*NAMES[family], family]) if len(w) == 1}
+        found[family] = [p for p in pairs if p] + [[f"{before} {w}"] for w in sorted(single) for before in ("under", "the", "identifier")]
     return found
 
 
