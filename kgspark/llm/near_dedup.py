@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import WordHashes, gram_hashes, mixed, signed, span_hashes, table, written
+from kgspark.llm.shared import WordHashes, gram_hashes, mixed, signed, span_hashes, table, trimmed, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -109,6 +109,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _banded(n: int, bands: int, rows: int, weighted: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         most_docs = max(1, int(DARTS_A_THROW / (bands * rows * (math.log(bands * rows) + 2))))
@@ -140,6 +141,7 @@ def _banded(n: int, bands: int, rows: int, weighted: bool):
 
 
 def _similar(n: int, threshold: float, weighted: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -181,6 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _listed(n: int, weighted: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -193,6 +196,7 @@ def _listed(n: int, weighted: bool):
 
 
 def _parities(n: int, weighted: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.bpe import byte_letters, default_path, encode_ids
-from kgspark.llm.shared import table, text_pieces, written
+from kgspark.llm.shared import lazily, table, text_pieces, trimmed, written
 
 WINDOW, END = 2048, 1
 #: Pieces of one length that one task ranks.
@@ -66,10 +66,11 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) ->
     """Whole windows and the rest of every document, with the checksum of each piece's ids."""
     last = end.to_bytes(4, "little")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), lazily(batch.column("text")), strict=True):
                 ids = token_ids(path, text) + last
                 total = len(ids) // 4
                 for start in range(0, total, window):
@@ -164,6 +165,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
     where = places(plan(histogram, window))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequences, offsets = [], []

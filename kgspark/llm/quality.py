@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import operator
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import held_out, table
+from kgspark.llm.shared import held_out, lazily, table, trimmed
 from kgspark.llm.supervised import FIT_ROWS, labelled_sample, logistic, sigmoid
 
 PARTS, TEST_PART, THRESHOLD = 4, 2, 0.7
@@ -60,6 +60,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, part: int = TEST_PART, rows: int = FIT_ROWS) -> Model:
+    @trimmed
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [list(features(t)) for t in frame["text"]], "label": frame["label"]})
@@ -86,9 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, part: int = TEST
     return Model(mean.tolist(), scale.tolist(), w.tolist(), float((edges[at] + edges[at + 1]) / 2), float(y.mean()))
 
 
-def scores(model: Model, texts: list[str | None]) -> list[float]:
+def scores(model: Model, texts: Iterable[str | None], n: int) -> list[float]:
     if not model.weights:
-        return [model.share] * len(texts)
+        return [model.share] * n
     x = np.array([features(t) for t in texts], float).reshape(-1, len(model.weights))
     worth = ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights)
     return sigmoid(worth - model.threshold + np.log(THRESHOLD / (1 - THRESHOLD))).tolist()
@@ -97,9 +98,10 @@ def scores(model: Model, texts: list[str | None]) -> list[float]:
 def with_score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
     """The given columns of the documents and a score."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(model, batch.column("text").to_pylist()), pa.float64())], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(model, lazily(batch.column("text")), batch.num_rows), pa.float64())], names=[*columns, name])
 
     schema = docs.select(*columns).schema.add(name, "double")
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)

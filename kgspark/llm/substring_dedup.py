@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import WordHashes, gram_hashes, scratch, shipped, signed, span_hashes, table, written
+from kgspark.llm.shared import WordHashes, gram_hashes, lazily, scratch, shipped, signed, span_hashes, table, trimmed, written
 
 WORDS, GRAM = 35, 6
 FAN_IN = 4
@@ -47,6 +47,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _segments(words: int, gram: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -108,6 +109,7 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
 def _open_windows(words: int):
     """Hashes of every window of the segments listed with a text."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -206,10 +208,11 @@ def _spot(spots: Column, at: Column) -> list[Column]:
 
 
 def _kept(words: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [])
-            for text, stretches in zip(batch.column("text").to_pylist(), batch.column("stretches").to_pylist(), strict=True):
+            for text, stretches in zip(lazily(batch.column("text")), lazily(batch.column("stretches")), strict=True):
                 found, gone = kept_words(text, stretches, words)
                 kept = [found[k] for k in np.flatnonzero(~gone)] if gone.any() else found
                 for column, x in zip(rows, (len(found), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
@@ -247,10 +250,11 @@ def removed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with repeated windows taken out of their texts; an untouched text stays as it is, white space too."""
     columns = docs.columns
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, stretches in zip(batch.column("text").to_pylist(), batch.column("stretches").to_pylist(), strict=True):
+            for text, stretches in zip(lazily(batch.column("text")), lazily(batch.column("stretches")), strict=True):
                 found, gone = kept_words(text, stretches, words)
                 texts.append(b" ".join([found[k] for k in np.flatnonzero(~gone)]).decode("utf-8", "replace") if gone.any() else text)
             row = batch.column("row")

@@ -18,7 +18,7 @@ the score is the share of toxic labels (0 without labels).  Repeated rows: each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import held_out, table
+from kgspark.llm.shared import held_out, lazily, table, trimmed
 from kgspark.llm.supervised import FIT_ROWS, labelled_sample, logistic, sigmoid
 
 PARTS, TEST_PART, THRESHOLD = 5, 0, 0.5
@@ -114,6 +114,7 @@ def features(model: Model, text: str | None) -> tuple[float, ...]:
     return (1.0, float(total > 0), np.log1p(total), most / 10, min(100 * total / n, 50) / 10, np.log1p(n) / 10)
 
 
+@trimmed
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, context, label), distinct within CONTEXTS_AT_ONCE of them; the context is the word before."""
 
@@ -166,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, part: int = TEST
     ordinary, toxic = trained_content([key_code(k) for k in common]), trained_content([key_code(r["key"]) for r in reversed(marked)])
     model = Model(ordinary, toxic, [], n[1] / (n[0] + n[1]))
 
+    @trimmed
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"x": [list(features(model, t)) for t in frame["text"]], "label": frame["label"]})
@@ -177,18 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, part: int = TEST
     return model
 
 
-def scores(model: Model, texts: list[str | None]) -> list[float]:
+def scores(model: Model, texts: Iterable[str | None], n: int) -> list[float]:
     if not model.weights:
-        return [model.share] * len(texts)
+        return [model.share] * n
     return sigmoid(np.array([features(model, t) for t in texts], float).reshape(-1, len(model.weights)) @ np.array(model.weights)).tolist()
 
 
 def with_score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
     """The given columns of the documents and a score."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(model, batch.column("text").to_pylist()), pa.float64())], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(model, lazily(batch.column("text")), batch.num_rows), pa.float64())], names=[*columns, name])
+        _CODES.clear()
 
     schema = docs.select(*columns).schema.add(name, "double")
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
