@@ -5,7 +5,7 @@ Its features are the n-grams of the training notices that hold a cue (a word suc
 their values are 1 over the root of how many a paragraph has.  The unknown class is trained on sentences that use the
 same words otherwise, and calibrated: a family counts if its probability reaches a threshold above what held-out
 sentences of that kind get.  A prediction is confirmed if enough of the word pairs of one of the family's templates
-stand in the paragraph.
+stand in the paragraph; templates hold no holder and no year.
 
 The model is trained on the notices below, which are constants: a few hundred lines on the driver.  Documents are only
 touched by DataFrame functions: substring tests choose documents, then lines, and a line without a cue has no feature,
@@ -60,8 +60,10 @@ NOTICES = {
     "ISC": ["Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["Copyright 2020 Example Corporation. All rights reserved.", "Copyright (c) 2019 Example Inc. All rights reserved. Redistribution is prohibited.", "All rights reserved. No part may be reproduced without written permission.", "Confidential and proprietary. Copyright Example. All rights reserved."],
+    "Proprietary": ["All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved.", "Copyright (c) 2019 Example Inc. All rights reserved. Redistribution is prohibited.", "All rights reserved. No part may be reproduced without written permission.", "Confidential and proprietary. Copyright Example. All rights reserved."],
 }
+#: What a notice is confirmed by where the training notices name a holder and a year: the words that do not vary.
+INVARIANT = {"Proprietary": ["all rights reserved", "redistribution is prohibited", "no part may be reproduced without written permission"]}
 OTHER = [
     "She lost her driving licence and had to ask for a new one.", "He has a license to practise medicine in two states.", "They applied for a fishing license last summer.", "The pub lost its liquor license.",
     "Permission to land was refused.", "He left without permission.", "You need the permission of your parents.", "The police had a warrant for his arrest.", "The machine comes with a two year warranty.", "The evidence does not warrant such a claim.",
@@ -94,12 +96,12 @@ def examples() -> list[tuple[str, str]]:
 def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     """(classes with unknown first, weights by n-gram, biases, threshold): multinomial logistic loss, shrunk to sparsity.
 
-    A third of the examples of each class is held out; the threshold lies above the most that a held-out sentence of the
+    A third of the sentences of the unknown class is held out; the threshold lies above the most that a held-out sentence of the
     unknown class gets for a family, and at a half at least.
     """
     rows = examples()
     kinds = ["", *NAMES]
-    held = [k for k in range(len(rows)) if k % 3 == 2 and not rows[k][1]]
+    held = [k for k in range(len(rows)) if (len(rows) - k) % 3 == 1 and not rows[k][1]]  # counted from the end: the same sentences whatever notices are added
     train = [k for k in range(len(rows)) if k not in set(held)]
     grams = sorted({g for k in train for g in features_of(rows[k][0])})
     place = {g: i for i, g in enumerate(grams)}
@@ -129,7 +131,7 @@ def templates() -> dict[str, list[list[str]]]:
     """For each family the word pairs of its names and notices (a name of one word: with the word before it)."""
     found: dict[str, list[list[str]]] = {}
     for family in NAMES:
-        texts = [*NAMES[family], *NOTICES.get(family, [])]
+        texts = INVARIANT.get(family) or [*NAMES[family], *NOTICES.get(family, [])]
         pairs = [sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)}) for w in map(words_of, texts)]
         single = {w[0] for w in map(words_of, [*NAMES[family], family]) if len(w) == 1}
         found[family] = [p for p in pairs if p] + [[f"{before} {w}"] for w in sorted(single) for before in ("under", "the", "identifier")]

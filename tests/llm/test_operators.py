@@ -190,6 +190,13 @@ def test_licences(spark, empty):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
 
 
+def test_proprietary_notices(spark):
+    """The holder and the year are no part of what confirms a notice."""
+    rows = [(1, "All rights reserved."), (2, "Copyright (c) 2021 Acme Ltd. All rights reserved."), (3, "some text\nCopyright 1987-2003 The Widget Makers of Leeds. All rights reserved.\nmore"), (4, "We reserve all rights in the matter to the court."), (5, "Copyright law protects authors.")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert count(found.select("doc_id", "paragraph", "family")) == Counter({(1, 0, "Proprietary"): 1, (2, 0, "Proprietary"): 1, (3, 1, "Proprietary"): 1})
+
+
 # 7
 
 
