@@ -1,17 +1,21 @@
 """Operator 5 [native]: licence notices by a trained paragraph classifier, confirmed against templates.
 
-A sparse logistic regression over word n-grams tells the family of a paragraph (a line of the text) or that it is none.
+A paragraph is a run of lines without a blank one; a notice may be wrapped over its lines, and a paragraph may hold
+several.  Wherever a cue word of a template stands, the words around it are compared with that template; if enough of
+its word pairs stand there, a sparse logistic regression over word n-grams tells the family of this stretch of words, or
+that it is none.  Every family that is confirmed and told is reported, by the line it starts in.
+
 Its features are the n-grams of the training notices that hold a cue (a word such as ``licensed``, ``gnu`` or ``cc by``);
 their values are 1 over the root of how many a paragraph has.  The unknown class is trained on sentences that use the
 same words otherwise, and calibrated: a family counts if its probability reaches a threshold above what held-out
-sentences of that kind get.  A prediction is confirmed if enough of the word pairs of one of the family's templates
-stand in the paragraph; templates hold no holder and no year.
+sentences of that kind get.  Templates hold no holder and no year.
 
 The model is trained on the notices below, which are constants: a few hundred lines on the driver.  Documents are only
-touched by DataFrame functions: substring tests choose documents, then lines, and a line without a cue has no feature,
-so that those tests decide nothing that the model would decide otherwise.  No shuffle, no join.
+touched by DataFrame functions: substring tests choose documents, then paragraphs, and words without a cue have no
+feature, so that those tests decide nothing that the model would decide otherwise.  No shuffle, no join.
 
 Null or empty text: no paragraph.  Repeated rows and repeated lines: each is reported.  Very long lines: whole.
+Of overlapping notices of one family the first is reported.
 """
 
 from __future__ import annotations
@@ -127,56 +131,113 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     return kinds, {grams[i]: [round(float(v), 6) for v in w[i]] for i in used}, [float(v) for v in b], threshold
 
 
-def templates() -> dict[str, list[list[str]]]:
-    """For each family the word pairs of its names and notices (a name of one word: with the word before it)."""
-    found: dict[str, list[list[str]]] = {}
+def templates() -> list[tuple[str, list[str]]]:
+    """(family, words) of its names and notices (a name of one word: with the word before it)."""
+    found: list[tuple[str, list[str]]] = []
     for family in NAMES:
-        texts = INVARIANT.get(family) or [*NAMES[family], *NOTICES.get(family, [])]
-        pairs = [sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)}) for w in map(words_of, texts)]
-        single = {w[0] for w in map(words_of, [*NAMES[family], family]) if len(w) == 1}
-        found[family] = [p for p in pairs if p] + [[f"{before} {w}"] for w in sorted(single) for before in ("under", "the", "identifier")]
+        texts = [words_of(t) for t in INVARIANT.get(family) or [*NAMES[family], *NOTICES.get(family, [])]]
+        single = sorted({w[0] for w in map(words_of, [*NAMES[family], family]) if len(w) == 1})
+        texts = [w for w in texts if len(w) > 1] + [[before, w] for w in single for before in ("under", "the", "identifier", "or", "and")]
+        found += [(family, w) for k, w in enumerate(texts) if w not in texts[:k]]
+    return found
+
+
+def slack(n: int) -> int:
+    """Words that a notice may have besides those of a template of n words, on either side of where it is expected."""
+    return n if n >= 8 else n // 4
+
+
+def anchors() -> dict[str, list[dict[str, int]]]:
+    """By word: the templates that are looked for where it stands, and its place in them (cue words; without one, the last word)."""
+    found: dict[str, list[dict[str, int]]] = {}
+    for t, (_, words) in enumerate(templates()):
+        cued = [k for k, w in enumerate(words) if any(w.startswith(c) for c in CUES)] or [len(words) - 1]
+        for k in cued:
+            found.setdefault(words[k], []).append({"t": t, "k": k})
     return found
 
 
 def _mentions(text: Column) -> Column:
+    """Whether a lower-case text holds a cue; what stands between the words of a phrase does not matter."""
     found = F.lit(False)
-    for cue in (*CUES, *PHRASES, "cc-by", "cc_by"):
+    for cue in CUES:
         found |= F.contains(text, F.lit(cue))
+    for phrase in PHRASES:
+        parts = phrase.split()
+        held = F.contains(text, F.lit(parts[0]))
+        for part in parts[1:]:
+            held &= F.contains(text, F.lit(part))
+        found |= held & text.rlike("[^a-z0-9]+".join(parts))
     return found
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, n_features): every confirmed licence notice."""
+    """(doc_id, paragraph, family, probability, similarity, n_features): every confirmed licence notice, by the line it starts in."""
     kinds, weights, bias, threshold = trained()
+    texts = templates()
     lower = docs.select("doc_id", F.lower("text").alias("text")).filter(_mentions(F.col("text")))
-    lines = lower.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(_mentions(F.col("line")))
-    words = _once(lines, "words", F.filter(F.split(F.regexp_replace("line", "[^a-z0-9]+", " "), " "), lambda w: w != "")).filter(F.size("words") > 0)
-    starts = F.sequence(F.lit(1), F.size("words"))
-    grams = [_grams(starts, n) for n in range(1, NGRAM + 1)]
-    cued = _once(words, "grams", F.filter(F.array_distinct(F.flatten(F.array(*grams))), lambda g: g.isNotNull() & g.rlike(_CUE_PATTERN)))
+    lines = _once(lower, "lines", F.split("text", "\n")).drop("text")
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(F.regexp_replace(x, "\\s+", " ")) == "", i)), lambda i: i.isNotNull())
+    blanks = _once(lines, "blanks", blank)
+    blocks = F.transform(F.concat(F.array(F.lit(-1)), "blanks"), lambda s, j: F.struct((s + 1).alias("first"), F.slice("lines", s + 2, F.coalesce(F.get("blanks", j), F.size("lines")) - s - 1).alias("lines")))
+    block = blanks.select("doc_id", F.explode(blocks).alias("b")).select("doc_id", "b.first", "b.lines").filter(_mentions(F.array_join("lines", " ")))
+    cut = _once(block, "cut", F.transform("lines", lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9]+", " "), " "), lambda w: w != ""))).drop("lines")
+    words = _once(_once(cut, "words", F.flatten("cut")), "at", F.flatten(F.transform("cut", lambda ws, i: F.array_repeat(i + F.col("first"), F.size(ws))))).drop("cut").filter(F.size("words") > 0)
+    known_anchors = F.from_json(F.lit(json.dumps(anchors())), "map<string,array<struct<t:int,k:int>>>")
+    met = F.flatten(F.filter(F.transform("words", lambda w, i: F.transform(F.element_at(known_anchors, w), lambda a: F.struct(a.t.alias("t"), F.greatest(i - a.k, F.lit(0)).alias("start")))), lambda x: x.isNotNull()))
+    starts = _once(words, "found", F.array_distinct(met)).filter(F.size("found") > 0)
+    pairs_of = F.array(*[F.array(*[F.lit(x) for x in sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)})]) for _, w in texts])
+    length_of, slack_of, family_of = (F.array(*[F.lit(v) for v in vs]) for vs in ([len(w) for _, w in texts], [slack(len(w)) for _, w in texts], [f for f, _ in texts]))
+
+    def of(constants: Column, c: Column) -> Column:
+        return F.get(constants, c.t)
+
+    def compared(c: Column) -> Column:
+        begin = F.greatest(c.start - of(slack_of, c), F.lit(0))
+        near = F.slice("words", begin + 1, c.start - begin + of(length_of, c) + of(slack_of, c))
+        share = F.size(F.array_intersect(_runs(near, 2), of(pairs_of, c))) / F.size(of(pairs_of, c)).cast("double")
+        return F.struct(c.t.alias("t"), c.start.alias("start"), (c.start + of(length_of, c)).alias("stop"), share.alias("similarity"))
+
+    confirmed = _once(starts, "sure", F.filter(F.transform("found", compared), lambda c: c.similarity >= CONFIRMED)).drop("found").filter(F.size("sure") > 0)
+    # where the template's pairs stand first: a second copy right behind is not taken for the end of this one
+    here = F.transform("sure", lambda c: F.struct(c.alias("c"), _runs(_part(c, F.lit(0), of(length_of, c) / 4), 2).alias("r")))
+    confirmed = _once(confirmed, "here", here).drop("sure")
+    spots = F.transform("here", lambda x: F.struct(x.c.alias("c"), F.transform(F.array_intersect(x.r, of(pairs_of, x.c)), lambda g: (x.c.start + F.array_position(x.r, g) - 1).cast("int")).alias("p")))
+    confirmed = _once(confirmed, "spots", spots).drop("here")
+    spans = F.transform("spots", lambda x: F.struct(x.c.t.alias("t"), x.c.start.alias("start"), x.c.stop.alias("stop"), x.c.similarity.alias("similarity"), F.coalesce(F.array_min(x.p), x.c.start).alias("first"), F.coalesce(F.array_max(x.p) + 2, x.c.stop).alias("last")))
+    confirmed = _once(confirmed, "sure", spans).drop("spots")
+    # a notice is classified with the words before it, which may tell the family, and without them, which may name another one
+    views = F.flatten(F.transform("sure", lambda c: F.transform(F.array(F.lit(0), F.lit(NGRAM - 1)), lambda before: F.struct(c.alias("c"), _part(c, before, of(length_of, c) / 4).alias("w")))))
+    view = _once(confirmed, "view", views).drop("sure", "words")
+    cued = F.transform("view", lambda v: F.struct(v.c.alias("c"), F.filter(F.array_distinct(F.flatten(F.array(*[_runs(v.w, n) for n in range(1, NGRAM + 1)]))), lambda g: g.rlike(_CUE_PATTERN)).alias("g")))
+    view = _once(view, "cued", cued).drop("view")
     known = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")  # a constant of about a thousand entries
-    hits = _once(cued, "hits", F.filter(F.transform("grams", lambda g: F.element_at(known, g)), lambda v: v.isNotNull())).filter(F.size("hits") > 0)
-    total = F.aggregate("hits", F.array(*[F.lit(0.0) for _ in kinds]), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    summed = _once(hits, "total", total)
-    scaled = _once(summed, "logits", F.zip_with("total", F.array(*[F.lit(v) for v in bias]), lambda a, b: a / F.sqrt(F.greatest(F.size("hits"), F.lit(1)).cast("double")) + b))
-    powers = _once(_once(scaled, "top", F.array_max("logits")), "powers", F.transform("logits", lambda z: F.exp(z - F.col("top"))))
-    named = _once(powers, "probability", 1.0 / F.aggregate("powers", F.lit(0.0), lambda a, b: a + b))  # the best one's power is 1
-    named = _once(named, "family", F.element_at(F.array(*[F.lit(k) for k in kinds]), F.array_position("logits", F.col("top")).cast("int")))
-    named = named.filter((F.col("family") != "") & (F.col("probability") >= threshold))
-    pairs = F.array_distinct(F.filter(_grams(starts, 2), lambda g: g.isNotNull()))
-    named = _once(named, "pairs", pairs)
-    similarity = None
-    for family, texts in templates().items():
-        shares = [F.size(F.array_intersect("pairs", F.array(*[F.lit(x) for x in t]))) / F.lit(float(len(t))) for t in texts]
-        case = (F.col("family") == family, F.greatest(*shares, F.lit(0.0)))
-        similarity = F.when(*case) if similarity is None else similarity.when(*case)
-    found = _once(named, "similarity", similarity).filter(F.col("similarity") >= CONFIRMED)
-    return found.select("doc_id", "paragraph", "family", "probability", "similarity", F.size("hits").alias("n_features"))
-
-
-def _grams(starts: Column, n: int) -> Column:
-    """The runs of n words; null where fewer are left."""
-    return F.transform(starts, lambda i: F.when(i + n - 1 <= F.size("words"), F.array_join(F.slice("words", i, F.lit(n)), " ")))
+    hits = F.transform("cued", lambda v: F.struct(v.c.alias("c"), F.filter(F.transform(v.g, lambda g: F.element_at(known, g)), lambda x: x.isNotNull()).alias("h")))
+    view = _once(view, "hits", F.filter(hits, lambda v: F.size(v.h) > 0)).drop("cued").filter(F.size("hits") > 0)
+    zero, biases = F.array(*[F.lit(0.0) for _ in kinds]), F.array(*[F.lit(v) for v in bias])
+    logits = F.transform("hits", lambda v: F.struct(v.c.alias("c"), F.size(v.h).alias("n"), F.zip_with(F.aggregate(v.h, zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)), biases, lambda a, b: a / F.sqrt(F.size(v.h).cast("double")) + b).alias("z")))
+    view = _once(view, "logits", logits).drop("hits")
+    tops = F.transform("logits", lambda v: F.struct(v.c.alias("c"), v.n.alias("n"), v.z.alias("z"), F.array_max(v.z).alias("top")))
+    view = _once(view, "tops", tops).drop("logits")
+    named = F.transform("tops", lambda v: F.struct(v.c.first.alias("start"), v.c.last.alias("stop"), F.get(F.array(*[F.lit(k) for k in kinds]), F.array_position(v.z, v.top).cast("int") - 1).alias("family"), of(family_of, v.c).alias("wanted"), (1.0 / F.aggregate(v.z, F.lit(0.0), lambda a, z: a + F.exp(z - v.top))).alias("probability"), v.c.similarity.alias("similarity"), v.n.alias("n_features")))
+    view = _once(view, "named", F.array_sort(F.filter(named, lambda v: (v.family == v.wanted) & (v.probability >= threshold)))).drop("tops")
+    # of notices of one family that overlap, the first; no more than ``reach`` can start in the longest notice before one
+    reach = 2 * len(texts) * 2 * max(len(w) for _, w in texts)
+    view = _once(view.filter(F.size("named") > 0), "firsts", F.filter("named", lambda v, i: ~F.exists(F.slice("named", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), lambda u: (u.family == v.family) & (u.stop > v.start))))
+    one = view.select("doc_id", "at", F.explode("firsts").alias("v"))
+    return one.select("doc_id", F.get("at", F.col("v.start")).alias("paragraph"), "v.family", "v.probability", "v.similarity", "v.n_features")
+
+
+def _part(c: Column, before: Column, after: Column) -> Column:
+    begin = F.greatest(c.start - before, F.lit(0))
+    return F.slice("words", begin + 1, (c.stop - begin + after).cast("int"))
+
+
+def _runs(words: Column, n: int) -> Column:
+    """The runs of n words."""
+    if n == 1:
+        return words
+    return F.filter(F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, F.lit(n)), " "))), lambda g: g.isNotNull())
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -197,6 +197,20 @@ def test_proprietary_notices(spark):
     assert count(found.select("doc_id", "paragraph", "family")) == Counter({(1, 0, "Proprietary"): 1, (2, 0, "Proprietary"): 1, (3, 1, "Proprietary"): 1})
 
 
+def test_wrapped_and_several_notices(spark):
+    """Notices over several lines, several families in a paragraph, and other characters between the words of a phrase."""
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+    rows = [
+        (1, "x\n\n" + mit), (2, bsd), (3, isc), (4, "Licensed under the MIT License or the Apache License, Version 2.0."), (5, "Creative-Commons  Attribution 4.0 International License"), (6, "all  rights\nreserved."),
+        (7, "all rights\n\nreserved."), (8, "Released under the MIT license.\nReleased under the MIT license."), (9, "Distributed under the terms of the GNU Lesser General Public License, version 2.1."), (10, "License fees rose in May.\nTaxes redistribute income."), (11, "Mozilla Public License 2.0\nMozilla Public License 2.0"),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = [(1, 2, "MIT"), (2, 0, "BSD"), (3, 0, "ISC"), (4, 0, "MIT"), (4, 0, "Apache-2.0"), (5, 0, "CC-BY"), (6, 0, "Proprietary"), (8, 0, "MIT"), (8, 1, "MIT"), (9, 0, "LGPL"), (11, 0, "MPL-2.0"), (11, 1, "MPL-2.0")]
+    assert count(found.select("doc_id", "paragraph", "family")) == Counter(expected)
+
+
 # 7
 
 
