@@ -1,6 +1,6 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A text is cut into windows of a few
+Two zstandard dictionaries, a toxic and an ordinary one, are built from lists of words.  A text is cut into windows of a few
 words; each window is compressed with either dictionary, and the bytes that the toxic one saves are its distance.  A
 document's score is a logistic function, calibrated on labelled documents, of how many bytes its windows save, the
 most that one saves, and its length.
@@ -8,9 +8,10 @@ most that one saves, and its length.
 Words enter the compressor as codes, not letters: six bytes each for the hash of its first four letters, of its first
 six, and of itself.  Chance substrings then never match, a word or a stem matches as a whole, and the few bytes by which one
 insult changes a window are not drowned: with letters, a single short word gains nothing over an uncompressed block.
-The toxic dictionary is trained on windows of toxic documents around words and stems that are significantly more
-frequent there (likelihood ratio over distinct contexts, so that copies of one document count once), and carries the
-ordinary dictionary's content, so that ordinary words cost the same under both.
+The toxic dictionary is trained on windows of the list of words and stems that are significantly more frequent in toxic
+documents (likelihood ratio over distinct texts, so that copies of one document count once), not on windows of those
+documents: a word outside the list saves no bytes.  The ordinary one is trained on the list of the commonest ordinary
+words; the toxic one carries its content too, so that ordinary words cost the same under both.
 
 Null or empty text: no window, and the score that the calibration gives to that.  No labels, or only one kind of label:
 the score is the share of toxic labels (0 without labels).  Repeated rows: each gets its row.
@@ -34,7 +35,7 @@ from kgspark.llm.supervised import FIT_ROWS, labelled_sample, logistic, sigmoid
 
 PARTS, TEST_PART, THRESHOLD = 5, 0, 0.5
 WINDOW, STEMS = 8, (4, 6)
-#: Contexts a word needs in toxic documents, and its likelihood ratio (about p = 1e-6 at 24).
+#: Distinct texts a word needs in toxic documents, and its likelihood ratio (about p = 1e-6 at 24).
 LEAST_CONTEXTS, SIGNIFICANT = 4, 24.0
 #: Savings below this are noise of the format; bytes.
 NOISE = 2
@@ -116,7 +117,7 @@ def features(model: Model, text: str | None) -> tuple[float, ...]:
 
 @trimmed
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, context, label), distinct within CONTEXTS_AT_ONCE of them; the context is the word before."""
+    """(key, context, label), distinct within CONTEXTS_AT_ONCE of them; the context is the text, by its hash."""
 
     def rows(found: set[tuple[str, int, int]]) -> pa.RecordBatch:
         key, context, label = zip(*found, strict=True)
@@ -126,11 +127,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[str, int, int]] = set()
         texts = batch.column("text")
         for k, label in enumerate(batch.column("label").to_pylist()):
-            before = ""
-            for word in words_of(texts[k].as_py()):
-                context = xxhash.xxh32_intdigest(before)
+            words = words_of(texts[k].as_py())
+            context = xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
+            for word in dict.fromkeys(words):
                 found.update((key, context, label) for key in keys_of(word))
-                before = word
                 if len(found) >= CONTEXTS_AT_ONCE:
                     yield rows(found)
                     found = set()

@@ -175,6 +175,17 @@ def test_classifiers(spark, docs, empty, name, label, module):
         assert rows.count() == df.count() and all(0 <= r["__score"] <= 1 for r in rows.collect())
 
 
+def test_toxic_word_after_a_fixed_word(spark):
+    """A toxic word that always follows the same word is learnt."""
+    dice = random.Random(4)
+    prose = lambda: " ".join(f"{dice.choice('river stone bread house light')}{dice.randrange(60)}" for _ in range(30))
+    rows = [(i, prose() + (" you are welcome" if i % 6 else " you are vermin")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    bad, good = toxicity.scores(model, [prose() + " you are vermin", prose() + " you are welcome"], 2)
+    assert bad >= toxicity.THRESHOLD > good
+
+
 # 5
 
 
