@@ -200,7 +200,7 @@ def summary_literals(spark, d):
 
 
 def _bag_sql(text: str) -> str:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in retrieve.stopwords())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
     return f"list_filter(list_distinct(regexp_split_to_array(lower(trim({text})), '[^\\p{{L}}\\p{{N}}]+')), lambda w: w <> '' AND NOT list_contains([{stop}], w))"
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +43,14 @@ def tag_of(name):
     return F.when(name.isin(*LITERAL_KINDS), "LIT").when(name.isin(*ENTITY_KINDS), "NE").otherwise("UNKNOWN")
 
 
-CAPITALISED = regex.compile(r"\p{Lu}[\p{L}\p{M}'’-]*(?: \p{Lu}[\p{L}\p{M}'’-]*)*")
+CAPITALISED = r"\p{Lu}[\p{L}\p{M}'’-]*(?: \p{Lu}[\p{L}\p{M}'’-]*)*"
 
 
 def capitalised(text: str) -> Iterator[tuple[str, str, int, int]]:
     """Runs of capitalised words as (mention, OTHER, start, end): what can be told without a language model."""
-    for found in CAPITALISED.finditer(text):
+    import regex
+
+    for found in regex.finditer(CAPITALISED, text):
         yield found.group(), "OTHER", found.start(), found.end()
 
 

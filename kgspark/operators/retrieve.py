@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +70,9 @@ def summary(counts: DataFrame, entities: list[str] | None = None, rank_order: st
     return rows.orderBy(F.col("count").desc() if rank_order == "desc" else F.col("count").asc(), "entity", "predicate").limit(k)
 
 
-@lru_cache(maxsize=1)
-def stopwords() -> list[str]:
-    """Spark ML's English stop words, read from its archive, which needs no session."""
-    (archive,) = (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")
-    with zipfile.ZipFile(archive) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
-def bags(texts: DataFrame, key: str) -> DataFrame:
+def bags(texts: DataFrame, key: str, stopwords: list[str] = T.STOPWORDS) -> DataFrame:
     """(key, words) of (key, text)."""
-    return texts.select(key, T.bag_of_words(F.col("text"), stopwords()).alias("words"))
+    return texts.select(key, T.bag_of_words(F.col("text"), stopwords).alias("words"))
 
 
 def bow_similarity(rows: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
