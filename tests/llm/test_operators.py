@@ -79,22 +79,26 @@ def test_substrings(docs, texts, real, empty, spark):
 
 
 def test_index_of_batches_with_compaction(spark, real):
-    """Each batch is judged against all batches so far; compaction changes nothing."""
+    """After each batch all documents so far, old ones too, are judged as by brute force; compaction changes nothing; history is not shuffled."""
     index = substring_dedup.FingerprintIndex(spark)
     rows = sorted((r.doc_id, r.text) for r in real.select("doc_id", "text").collect())
-    cuts = np.array_split(np.arange(len(rows)), 6)
-    for k, part in enumerate(cuts):
+    judged = {}
+    for part in np.array_split(np.arange(len(rows)), 6):
         so_far = rows[: part[-1] + 1]
         known = substring_dedup.keyed(spark.createDataFrame(so_far, "doc_id long, text string"))
-        batch = known.filter(f"doc_id >= {so_far[part[0]][0]}")
-        stretches = {(r.text_hash, r.size): r.stretches for r in index.repeated(index.add(batch), known).collect()}
+        met = index.met(index.add(known.filter(f"doc_id >= {so_far[part[0]][0]}")))
+        for r in index.stretches(met, known).collect():
+            judged.setdefault((r.text_hash, r.size), set()).update((s.start, s.n) for s in r.stretches)
         index.compact()
         every = Counter(tuple(w[i : i + 35]) for w in (words(t) for _, t in so_far) for i in range(len(w) - 34))
-        for r in batch.collect():
-            w, gone = substring_dedup.kept_words(r.text, stretches.get((r.text_hash, r.size)), 35)
+        for r in known.collect():
+            w, gone = substring_dedup.kept_words(r.text, [{"start": s, "n": n} for s, n in judged.get((r.text_hash, r.size), ())], 35)
             starts = [i for i in range(len(w) - 34) if every[tuple(w[i : i + 35])] > 1]
-            assert set(np.flatnonzero(gone)) == {i + j for i in starts for j in range(35)}, (k, r.doc_id)
-    assert max(level for level, _ in index.runs) >= 1
+            assert set(np.flatnonzero(gone)) == {i + j for i in starts for j in range(35)}, r.doc_id
+    assert sorted(level for level, _ in index.runs) == [0, 0, 1]
+    own, other = (run.select("anchor") for _, run in index.runs[:2])
+    plan = own.join(other.hint("merge"), "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 # 2
