@@ -14,11 +14,14 @@ FIT_ROWS = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, label 0/1) of at most ``rows`` labelled ids outside the held-out part; labels that are null are left out."""
+    """(doc_id, text, label 0/1) of at most ``rows`` labelled ids outside the held-out part; labels that are null are left out.
+
+    An id with several texts counts once, with the smallest of them."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, part))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))  # one label an id; contradicting ones count as 1
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` rows of 12 bytes: a bounded broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # of several texts under one id, the smallest, so that the sample does not depend on the order of rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float, weight: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
