@@ -1,7 +1,7 @@
 """Operator 7: near-duplicate documents by DartMinHash.
 
-Documents are sets of SHINGLE-word shingles (a shorter one is its whole word sequence), optionally weighted by their
-counts; two are linked if their (weighted) Jaccard similarity is at least THRESHOLD, and classes are what links connect.
+Documents are sets of SHINGLE-word shingles (a shorter one is its whole word sequence), weighted by their counts unless
+asked otherwise; two are linked if their weighted Jaccard similarity is at least THRESHOLD, and classes are what links connect.
 
 Signatures.  Over every element's weight axis lie strips [0, 1), [1, 2), [2, 4), ...; in each strip hashed darts arrive in
 order of rank, by a Poisson process whose rate is the strip's width, and hit a weight in the strip and one of the
@@ -10,17 +10,20 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 K (ln K + 2) darts however long the document is.
 
 Joining.  BANDS bands of ROWS coordinates are dealt into buckets; a pair at the threshold shares none of them with a
-probability of about 2e-5.  Within a bucket no pairs are listed.  Its hub, the document with the largest buckets (in a
+probability of about 2e-5.  Within a bucket pairs are not listed.  Its hub, the document with the largest buckets (in a
 group of copies, the one they were made from), is compared with the others: a star.  Only where a bucket still holds
-different classes after that are members of different classes compared: all of them in buckets of up to SMALL members;
-in larger ones the hub of each class with the members of other classes, round after round until nothing new is linked.
-Two bounds, neither of which loses a link, keep pairs from being listed, so that many variants of one text that are not
-near-duplicates of each other cost few pairs: a document's shingles that no other of these documents has bound how much
-it shares with any of them; and where PARITY_WORDS x 64 bits, each the parity of how many shingles fall on it, differ
-between two documents, their shingles differ at least as often.  Similarities are computed from the texts.
+different classes after that are members of different classes compared, every one with every other, in blocks of at most
+about BLOCK members that are dealt over all tasks; members of one class are not.  Two bounds, neither of which loses a
+link, decide there which pairs are listed at all, so that many variants of one text that are not near-duplicates of each
+other cost few pairs: a document's shingles that no other of these documents has bound how much it shares with any of
+them; and where PARITY_WORDS x 64 bits, each the parity of how many shingles fall on it, differ between two documents,
+their shingles differ at least as often.  Similarities are computed from the texts.  So a link is lost only if the two
+documents share no bucket.
 
 Exact copies are one node with a count.  Null texts and texts without words are not duplicates of anything: each is its
-own class.  Repeated rows are copies.  Null ids stay null; a class is named by its smallest id.
+own class.  Repeated rows are copies.  Null ids stay null; a class is named by its smallest id.  Very long texts are
+handled whole, a part of their shingles' darts at a time.  ``representatives`` carries further columns in one struct,
+so that their names never clash; ``grouped`` does not read them.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import WordHashes, gram_hashes, mixed, signed, span_hashes, table, trimmed, written
+from kgspark.llm.shared import WordHashes, discard, gram_hashes, mixed, signed, span_hashes, table, trimmed, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
-SMALL, PARITY_WORDS = 64, 8
+BLOCK, PARITY_WORDS = 256, 8
 #: Memory bounds of a task: documents and shingles taken up at once, and shingles and darts of one throw.
 DOCS_AT_ONCE, SHINGLES_AT_ONCE, SHINGLES_A_THROW, DARTS_A_THROW = 4_000, 1_000_000, 200_000, 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -171,14 +174,16 @@ def _similar(n: int, threshold: float, weighted: bool):
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that links lead to, by label spreading and pointer jumping."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    every = labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
         spread = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
         nearer = labels.join(spread, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         ends = nearer.select(F.col("node").alias("comp"), F.col("comp").alias("end"))
         new = written(nearer.join(ends, "comp", "left").select("node", F.least("comp", F.coalesce("end", "comp")).alias("comp"), "old"), "labels")
-        labels = new.select("node", "comp")
+        discard(every)
+        every, labels = new, new.select("node", "comp")
         if new.filter("comp <> old").isEmpty():
+            discard(both)
             return labels
 
 
@@ -230,43 +235,81 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, weighte
     return written(named.select("a", "b", "text_a", "text_b").mapInArrow(_similar(n, threshold, weighted), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def _able(threshold: float):
+    """The pairs (a, b) of two blocks that are of different classes and that both bounds leave open."""
+    slack = (1 - threshold) / (1 + threshold)
+
+    def columns(block: pa.Scalar) -> tuple[np.ndarray, ...]:
+        x = block.values
+        node, comp, total, reach = (x.field(k).to_numpy(zero_copy_only=False) for k in ("node", "comp", "total", "reach"))
+        return node, comp, total, reach, x.field("parity").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), PARITY_WORDS)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                one, two = columns(left), columns(right)
+                fine = (one[1][:, None] != two[1]) & (one[3][:, None] >= two[2]) & (two[3] >= one[2][:, None])
+                i, j = np.nonzero(fine)
+                near = np.bitwise_count(one[4][i] ^ two[4][j]).sum(1) <= slack * (one[2][i] + two[2][j]) + 1e-6
+                pair = np.stack([one[0][i[near]], two[0][j[near]]], 1)
+                found.append(np.sort(pair, 1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def open_pairs(open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes in one bucket that the bounds leave open.
+
+    ``open_``: (bucket, node, comp, total, reach, parity).  A class with more than BLOCK members in a bucket has blocks of
+    its own, smaller classes share blocks; blocks of one and the same class do not meet.
+    """
+    of_class = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    pooled = of_class.filter(F.col("n") <= BLOCK).groupBy("bucket").agg(F.sum("n").alias("pool"))
+    sized = of_class.join(pooled, "bucket", "left")
+    large = F.col("n") > BLOCK
+    parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("pool")) / BLOCK)
+    own = F.when(large, F.col("comp"))
+    dealt = open_.join(sized, ["bucket", "comp"]).withColumns({"own": own, "part": F.pmod(F.xxhash64(F.when(large, F.col("node")).otherwise(F.col("comp"))), parts)})
+    packed = written(dealt.groupBy("bucket", "own", "part").agg(F.collect_list(F.struct("node", "comp", "total", "reach", "parity")).alias("block")).withColumn("id", F.xxhash64("own", "part")), "blocks")
+    left = packed.select("bucket", F.col("own").alias("own_a"), F.col("id").alias("id_a"), F.col("block").alias("left"))
+    right = packed.select("bucket", F.col("own").alias("own_b"), F.col("id").alias("id_b"), F.col("block").alias("right"))
+    met = left.join(right, "bucket").filter("id_a <= id_b AND (own_a IS NULL OR own_b IS NULL OR own_a <> own_b)")
+    return met.select("left", "right").mapInArrow(_able(threshold), "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """(node, comp) for every text that is linked to another; nodes are 64-bit hashes of texts."""
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
     dealt = written(named.select("node", "text").mapInArrow(_banded(n, bands, rows, weighted), "bucket long, node long"), "bands")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket", "size")
     live = written(dealt.join(sizes, "bucket").dropDuplicates(["bucket", "node"]), "live")
+    discard(dealt)
     weight = live.groupBy("node").agg(F.sum("size").alias("degree"))
     hubs = live.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    starred = live.join(hubs, "bucket")
-    pairs = written(starred.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    star = written(live.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     needed = live.select("node").distinct()
     # One text a node: of its copies, the first in id order (nulls last); repeated rows are dropped on so few rows only.
     first = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(needed, "node", "left_semi").withColumnRenamed("doc_id", "first_id").withColumnRenamed("node", "first_node")
     texts = written(named.join(wanted, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links, tested, bounds = linked(pairs, texts, n, threshold, weighted), pairs, None
-    while True:
-        comp = components(links)
-        member = live.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = written(_unsettled(member), "open")
-        if bounds is None:
-            bounds = bounds_of(texts.join(open_.select("node").distinct(), "node", "left_semi"), n, threshold, weighted)
-        bounded = open_.drop("size").join(bounds, "node")
-        least = bounded.groupBy("bucket").agg(F.min("total").alias("least"))
-        open_ = written(_unsettled(bounded.join(least, "bucket").filter("reach >= least").drop("least")), "open")
-        left, right = (open_.select("bucket", "size", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "total", "reach", "parity"))) for side in "ab")
-        heads = open_.filter(F.col("size") > SMALL).join(weight, "node").groupBy("bucket", "comp").agg(F.max_by(F.struct("node", "total", "reach", "parity"), F.struct("degree", "node")).alias("h"))
-        heads = heads.select("bucket", F.col("comp").alias("comp_b"), F.col("h.node").alias("node_b"), F.col("h.total").alias("total_b"), F.col("h.reach").alias("reach_b"), F.col("h.parity").alias("parity_b"))
-        differ = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY_WORDS))
-        able = F.expr(f"comp_a <> comp_b AND reach_a >= total_b AND reach_b >= total_a AND {differ} <= {(1 - threshold) / (1 + threshold)}D * (total_a + total_b) + 1e-6D")
-        small = left.filter(F.col("size") <= SMALL).join(right.drop("size"), "bucket").filter(able & F.expr("node_a < node_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        large = left.filter(F.col("size") > SMALL).join(heads, "bucket").filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        new = written(small.union(large).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = linked(new, texts, n, threshold, weighted)
-        if found.isEmpty():
-            return comp
-        links, tested = links.union(found), tested.union(new)
+    links = linked(star, texts, n, threshold, weighted)
+    comp = components(links)
+    open_ = written(_unsettled(live.select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "open")
+    if open_.isEmpty():
+        return comp
+    bounds = bounds_of(texts.join(open_.select("node").distinct(), "node", "left_semi"), n, threshold, weighted)
+    bounded = open_.drop("size").join(bounds, "node")
+    least = bounded.groupBy("bucket").agg(F.min("total").alias("least"))
+    settled = written(_unsettled(bounded.join(least, "bucket").filter("reach >= least").drop("least")), "open")
+    new = written(open_pairs(settled, threshold).join(star.union(star.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
+    found = linked(new, texts, n, threshold, weighted)
+    for done in (open_, settled, bounds, new, star, live, texts):
+        discard(done)
+    return comp if found.isEmpty() else components(links.union(found))
 
 
 def _unsettled(member: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def brute_classes(rows):
     sets = {}
     for t in {t for _, t in rows if words(t)}:
         w = words(t)
-        sets[t] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+        sets[t] = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)])
     parent = {t: t for t in sets}
 
     def root(t):
@@ -241,9 +241,12 @@ def brute_classes(rows):
             t = parent[t]
         return t
 
-    for a, b in itertools.combinations(sets, 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+    totals = {t: sum(c.values()) for t, c in sets.items()}
+    for a, b in itertools.combinations(sorted(sets, key=totals.get), 2):
+        if totals[a] < 0.8 * totals[b] or sets[a].keys().isdisjoint(sets[b]):
+            continue
+        both = sum(min(n, sets[b][g]) for g, n in sets[a].items())
+        if both >= 0.8 * (totals[a] + totals[b] - both) - 1e-9:
             parent[root(a)] = root(b)
     out = {}
     for k, (_, t) in enumerate(rows):
@@ -265,7 +268,8 @@ def test_near_duplicates(docs, real, empty, spark):
         for k in dice.sample(range(150), dice.randrange(12)):
             w[k] = f"v{dice.randrange(30)}"
         variants.append((None, " ".join(w)))
-    for df in (docs, real, spark.createDataFrame(variants, "doc_id long, text string")):
+    larger = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    for df in (docs, real, larger, spark.createDataFrame(variants, "doc_id long, text string")):
         rows, named = numbered(df)
         found = {}
         for r in near_dedup.grouped(named).collect():
@@ -276,7 +280,17 @@ def test_near_duplicates(docs, real, empty, spark):
     clash = docs.withColumns({"node": F.lit("x"), "class_id": F.lit(1)})
     assert near_dedup.representatives(clash).columns == clash.columns
     weighted = spark.createDataFrame([(1, "a b c d e " * 10), (2, "a b c d e " * 3)], "doc_id long, text string")
-    assert {r.class_id for r in near_dedup.grouped(weighted).collect()} == {1} and {r.class_id for r in near_dedup.grouped(weighted, weighted=True).collect()} == {1, 2}
+    assert {r.class_id for r in near_dedup.grouped(weighted, weighted=False).collect()} == {1} and {r.class_id for r in near_dedup.grouped(weighted).collect()} == {1, 2}
+
+
+def test_open_pairs_in_blocks(spark, monkeypatch):
+    """Every pair of different classes that the bounds leave open, whatever the blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    dice = np.random.default_rng(2)
+    rows = [(b, k, int(dice.integers(4)) if k > 12 else 99, 10, 10.5, [0] * near_dedup.PARITY_WORDS) for b in range(3) for k in range(30)]
+    found = near_dedup.open_pairs(spark.createDataFrame(rows, "bucket long, node long, comp long, total long, reach double, parity array<long>"), 0.8)
+    expected = {(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2]}
+    assert {tuple(r) for r in found.collect()} == expected
 
 
 def test_signatures_agree_like_the_sets():
