@@ -2,16 +2,21 @@
 
 Vectors are projected to M dimensions by Gaussian (2-stable) directions: for a vector at distance d, the squared
 projected distance is d^2 times a chi-square variable of M degrees.  A shard indexes its projections with a kd-tree.  A
-query visits the leaves in the order of their projected distance, verifies their vectors by true distance, and stops
-when the next leaf is so far that a vector as near as the k-th found would lie before it with probability at least
-STOP: chi-square test of (next projected distance / k-th distance)^2.  Every row is indexed; nothing is fitted.
-
-Vectors that are null, zero or have null or non-finite components take no part; see ``vectors`` for ids and lengths.
-Fewer candidates than k: all of them.  Equal distances: smaller id first, exactly, also among many equal vectors.
+query takes projected neighbours from the tree one leaf after the other, nearest first: it descends from the root, always
+into the node whose box is nearest, and a leaf's vectors are verified by true distance in the order of their projected
+distance, as soon as no box left is nearer.  It stops when the next projected distance is so large that a vector as near
+as the k-th found would have come before it with probability at least STOP: chi-square test of (next projected distance /
+k-th distance)^2.  Every row is indexed; nothing is fitted.
+
+Vectors that are null, zero or have null or non-finite components take no part; see ``vectors`` for repeated ids, lengths
+and further columns.  Fewer candidates than k: all of them.  Equal distances: smaller id first; among vectors as near as
+the k-th, verification goes on until no projected distance is 0, so many equal vectors are ordered by id exactly.  An
+empty table has no result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -22,7 +27,7 @@ from kgspark.llm.vectors import best_of, searched
 
 K, EVERY = 10, 100
 #: Even, so that the chi-square distribution has a closed form.
-M, STOP, LEAF = 8, 0.98, 32
+M, STOP, LEAF, AT_ONCE = 12, 0.95, 64, 64
 
 
 def directions(dim: int, m: int = M) -> np.ndarray:
@@ -35,69 +40,107 @@ def chi_square(x: float, m: int = M) -> float:
     return 1.0 if half > 700 else 1 - math.exp(-half) * sum(half**i / math.factorial(i) for i in range(m // 2))
 
 
-def kd_order(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the points by leaf, and where each leaf begins: split at the median of the widest dimension."""
-    order, starts, todo = np.arange(len(points)), [], [(0, len(points))]
-    while todo:
-        low, high = todo.pop()
-        if high - low <= leaf:
-            starts.append(low)
-            continue
-        part = order[low:high]
-        x = points[part]
-        widest = int(np.argmax(x.max(0) - x.min(0)))
-        half = (high - low) // 2
-        order[low:high] = part[np.argpartition(x[:, widest], half)]
-        todo += [(low + half, high), (low, low + half)]
-    return order, np.sort(np.array(starts, np.int64))
+def kd_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of the points by leaf, and the nodes: spans of that order, boxes, and the first of two children (0 at a leaf).
+
+    A node is split at the median of its widest dimension; the root is node 0, and a node's children stand side by side.
+    """
+    order, spans, child = np.arange(len(points)), [(0, len(points))], []
+    for low, high in spans:  # grows as nodes are split
+        child.append(0)
+        if high - low > leaf:
+            part = order[low:high]
+            x = points[part]
+            half = (high - low) // 2
+            order[low:high] = part[np.argpartition(x[:, int(np.argmax(np.ptp(x, axis=0)))], half)]
+            child[-1] = len(spans)
+            spans += [(low, low + half), (low + half, high)]
+    boxes = np.stack([np.stack([points[order[a:b]].min(0), points[order[a:b]].max(0)]) for a, b in spans])
+    return order, {"spans": np.array(spans, np.int64), "boxes": boxes, "child": np.array(child, np.int64)}
 
 
 def _index(_context):
-    def index(ids: np.ndarray, vectors: np.ndarray):
+    def index(vectors: np.ndarray):
         flat = vectors @ directions(vectors.shape[1])
-        order, starts = kd_order(flat)
-        flat = flat[order]
-        boxes = np.stack([np.minimum.reduceat(flat, starts), np.maximum.reduceat(flat, starts)])
-        return ids[order], vectors[order], {"starts": starts, "boxes": boxes}
+        order, tree = kd_tree(flat)
+        return order, tree | {"flat": flat[order]}
 
     return index
 
 
-def neighbours(ids, vectors, starts, boxes, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the nearest that the stopping test lets through."""
+class Shard:
+    """A shard's tree, its projections and vectors."""
+
+    def __init__(self, held: dict):
+        self.spans, self.child = np.frombuffer(held["spans"], np.int64).reshape(-1, 2).tolist(), np.frombuffer(held["child"], np.int64).tolist()
+        self.boxes, self.flat = np.frombuffer(held["boxes"], np.float64).reshape(len(self.child), 2, M), np.frombuffer(held["flat"], np.float64).reshape(-1, M)
+        self.vectors, self.ids, self.row = held["vector"], held["vec_id"], held["row"]
+        self.leaves = self.verified = 0  # what the queries have read so far
+
+
+def neighbours(shard: Shard, q: np.ndarray, row: int, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the nearest that the stopping test lets through; ``bound``: a k-th distance known before, or NaN."""
     flat = q @ directions(len(q))
-    gap = np.maximum(np.maximum(boxes[0] - flat, flat - boxes[1]), 0)
-    away = np.sqrt((gap * gap).sum(1))
-    turn, ends = np.argsort(away, kind="stable"), np.append(starts[1:], len(ids))
-    found, distance, at, step = np.empty(0, np.int64), np.empty(0), 0, 4
-    while at < len(turn):
-        leaves = turn[at : at + step]
-        rows = np.concatenate([np.arange(starts[x], ends[x]) for x in leaves])
-        rows = rows[ids[rows] != query_id]
-        d = vectors[rows] - q
-        all_ids, all_d = np.concatenate([found, ids[rows]]), np.concatenate([distance, np.sqrt((d * d).sum(1))])
-        best = best_of(all_d, all_ids, k)
-        found, distance = all_ids[best], all_d[best]
-        at += step
-        if at < len(turn) and len(found) == k and away[turn[at]] > 0:
-            kth = distance[-1]
-            if kth == 0 or chi_square((away[turn[at]] / kth) ** 2) >= STOP:
+    heap = [(0.0, 0)]
+    waiting, away = np.empty(0, np.int64), np.empty(0)
+    found, distance = np.empty(0, np.int64), np.empty(0)
+    while heap or len(waiting):
+        nearest_box = heap[0][0] if heap else math.inf
+        if heap and (not len(waiting) or away[0] > nearest_box):
+            if _done(nearest_box, distance, bound, k):
                 break
+            _, node = heapq.heappop(heap)
+            child, (low, high) = shard.child[node], shard.spans[node]
+            if child:
+                box = shard.boxes[child : child + 2]
+                gap = np.maximum(np.maximum(box[:, 0] - flat, flat - box[:, 1]), 0)
+                for side, x in enumerate((gap * gap).sum(1).tolist()):
+                    heapq.heappush(heap, (x, child + side))
+            else:
+                shard.leaves += 1
+                step = shard.flat[low:high] - flat
+                waiting, away = np.concatenate([waiting, np.arange(low, high)]), np.concatenate([away, (step * step).sum(1)])
+                turn = np.argsort(away, kind="stable")
+                waiting, away = waiting[turn], away[turn]
+            continue
+        if _done(away[0], distance, bound, k):
+            break
+        ready = max(1, min(int(np.searchsorted(away, nearest_box, side="right")), AT_ONCE))
+        rows = waiting[:ready]
+        waiting, away = waiting[ready:], away[ready:]
+        rows = rows[shard.row[rows] != row]
+        shard.verified += len(rows)
+        d = shard.vectors[rows] - q
+        all_rows, all_d = np.concatenate([found, rows]), np.concatenate([distance, _lengths(d)])
+        best = best_of(all_d, shard.ids[all_rows], k)
+        found, distance = all_rows[best], all_d[best]
     return found, distance
 
 
+def _lengths(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; scaled where squares would leave the range of doubles."""
+    most = np.abs(d).max(initial=0)
+    return np.sqrt((d * d).sum(1)) if 1e-140 < most < 1e140 or not most else most * np.sqrt(((d / most) ** 2).sum(1))
+
+
+def _done(squared: float, distance: np.ndarray, bound: float, k: int) -> bool:
+    kth = min(distance[-1] if len(distance) == k else math.inf, math.inf if math.isnan(bound) else bound)
+    if not squared or math.isinf(kth):
+        return False
+    return kth == 0 or chi_square(squared / kth / kth) >= STOP
+
+
 def _search(_context):
-    def search(ids, vectors, made, q_ids, q, k):
-        starts = np.frombuffer(made["starts"], np.int64)
-        boxes = np.frombuffer(made["boxes"], np.float64).reshape(2, len(starts), M)
-        out = [neighbours(ids, vectors, starts, boxes, i, x, k) for i, x in zip(q_ids.tolist(), q, strict=True)]
-        return np.repeat(q_ids, [len(f) for f, _ in out]), np.concatenate([f for f, _ in out]), np.concatenate([d for _, d in out])
+    def search(held, q, row, bound, k):
+        if "searched" not in held:
+            held["searched"] = Shard(held)
+        return neighbours(held["searched"], q, row, bound, k)
 
     return search
 
 
 def nearest(df: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    return searched(df, every, k, True, _index, "starts binary, boxes binary", _search, "double")
+    return searched(df, every, k, True, _index, "spans binary, boxes binary, child binary, flat binary", _search, "double")
 
 
 def op3_ann_projections_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,40 +127,99 @@ def test_language_model(docs, texts, real, empty):
 def vectors(spark):
     dice = np.random.default_rng(5)
     rows = [(i, (dice.standard_normal(8) * 2).round(2).tolist()) for i in range(600)] + [(100, [9.0] * 8), (1000, None), (1100, [0.0] * 8), (1200, [float("nan")] * 8), (1300, [1.0, None] * 4), (None, [1.0] * 8), (1400, [float("inf")] + [0.0] * 7)]
-    return rows + [(2000 + i, rows[0][1]) for i in range(30)]  # ties with a query
+    rows += [(2000 + i, rows[0][1]) for i in range(30)]  # ties with a query
+    return rows + [(3000 + 50 * i, (dice.standard_normal(5) * 2).round(2).tolist()) for i in range(8)] + [rows[7], rows[50], rows[50]]  # another length, repeated rows
 
 
 def usable(rows, nonzero):
-    fine = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (any(v) or not nonzero):
-            fine[i] = min(fine.get(i, v), v)
-    return fine
+    return [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (any(v) or not nonzero)]
 
 
-def test_neighbours(spark, vectors):
-    found = ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+def with_clashes(spark, rows):
+    """The vectors, with columns named like those that the search uses."""
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("row", "dim", "part", "kind", "bound", "query_id", "rank", "score", "flat")}).repartition(4)
+
+
+def by_query(rows):
+    """The results of each query row, as sorted lists in rank order."""
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank, r.score, r.vec_id)):
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return found
+
+
+@pytest.mark.parametrize("least", [2048, 64])
+def test_neighbours(spark, vectors, monkeypatch, least):
+    """Against brute force, in one shard and in many: nulls, ties, repeated ids and rows, two lengths, clashing columns."""
+    monkeypatch.setattr("kgspark.llm.vectors.SHARD_LEAST", least)
+    rows = ann.nearest(with_clashes(spark, vectors)).collect()
     v = usable(vectors, True)
+    expected = {}
+    for k, (q, x) in enumerate(v):
+        if q % 100 == 0:
+            expected.setdefault(q, []).append(sorted((math.dist(x, y), i) for j, (i, y) in enumerate(v) if j != k and len(y) == len(x))[:10])
+    found = by_query(rows)
+    assert found.keys() == {q for q, lists in expected.items() if any(lists)}
     hits = total = 0
-    for q in (i for i in v if i % 100 == 0):
-        best = sorted((math.dist(v[q], x), i) for i, x in v.items() if i != q)[:10]
-        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(1, 11)) and mine == sorted(mine, key=lambda r: (r.score, r.vec_id))
-        assert all(r.score == pytest.approx(math.dist(v[q], v[r.vec_id]), abs=1e-9) for r in mine)
-        hits, total = hits + len({i for _, i in best} & {r.vec_id for r in mine}), total + 10
+    for q, lists in expected.items():
+        assert sorted(x[0] for x in found[q]) == sorted(k for one in lists for k in range(1, len(one) + 1))
+        total += sum(map(len, lists))
+        hits += sum((Counter((i, round(d, 9)) for one in lists for d, i in one) & Counter((i, round(d, 9)) for _, i, d in found[q])).values())
     assert hits / total >= 0.9
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_products(spark, vectors):
-    found = topk.best_products(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
-    v = {i: [math.floor(256 * x) for x in y] for i, y in usable(vectors, False).items()}
+def test_tree_leaves_most_unread():
+    """On vectors with few degrees of freedom the descent reads and verifies a small part, and still finds the neighbours."""
+    dice = np.random.default_rng(8)
+    x = dice.standard_normal((20_000, 4)) @ dice.standard_normal((4, 64)) + 0.01 * dice.standard_normal((20_000, 64))
+    order, made = ann._index(None)(x)
+    shard = ann.Shard({"vector": x[order], "vec_id": order, "row": order} | {c: y.tobytes() for c, y in made.items()})
+    hits = 0
+    for q in range(0, 20_000, 200):
+        places, _ = ann.neighbours(shard, x[q], q, math.nan, 10)
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(shard.ids[places]) & set(np.argsort(d)[:10]))
+    leaves = int((made["child"] == 0).sum())
+    assert hits >= 900 and shard.leaves / (100 * leaves) < 0.2 and shard.verified / (100 * len(x)) < 0.05
+
+
+@pytest.mark.parametrize("least", [2048, 64])
+def test_products(spark, vectors, monkeypatch, least):
+    monkeypatch.setattr("kgspark.llm.vectors.SHARD_LEAST", least)
+    found = topk.best_products(with_clashes(spark, vectors))
+    v = [(i, [math.floor(256 * x) for x in y]) for i, y in usable(vectors, False)]
     expected = Counter()
-    for q in (i for i in v if i % 50 == 0):
-        every = sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in v.items() if i != q)[:5]
-        expected.update((q, k, i, -s) for k, (s, i) in enumerate(every, 1))
+    for k, (q, x) in enumerate(v):
+        if q % 50 == 0:
+            every = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, (i, y) in enumerate(v) if j != k and len(y) == len(x))[:5]
+            expected.update((q, n, i, -s) for n, (s, i) in enumerate(every, 1))
     assert count(found) == expected
     assert "op6_topk_inner_products" in oracle_sql()
+    assert topk.best_products(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_products_of_huge_components(spark):
+    """Squares beyond the range of doubles prune nothing."""
+    rows = [(0, [1e200, 0.0, 0.0])] + [(i, [0.0, 1.0, float(i % 7)]) for i in range(1, 2001)]
+    found = topk.best_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100_000)
+    assert [r.vec_id for r in sorted(found.collect(), key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+
+
+def test_partial_sums_prune():
+    """Most products are left off before the end where the axes differ in size."""
+    dice = np.random.default_rng(9)
+    x = dice.standard_normal((8_000, 64)) * np.linspace(2, 0.1, 64)
+    axes = np.linalg.eigh(topk.whole(x).T @ topk.whole(x))[1][:, ::-1]
+    order, made = topk._index({64: axes})(x)
+    shard = topk.Shard({"vector": x[order], "vec_id": order, "row": order} | {c: np.ascontiguousarray(y).tobytes() for c, y in made.items()})
+    for q in range(0, 8_000, 200):
+        places, scores = topk.best_in(shard, axes, topk.whole(x[q]), q, math.nan, 5)
+        every = (topk.whole(x) @ topk.whole(x[q])).astype(np.int64)
+        every[q] = -(2**62)
+        assert sorted(scores.tolist()) == sorted(np.sort(every)[-5:].tolist())
+    assert shard.multiplied < 0.2 * 40 * len(x)
 
 
 # 4 and 9
