@@ -12,7 +12,10 @@ known of their words by then, so that a pair bucket can also gather the held-out
 frequent pair, reaches its bucket once a chunk.  The statistics for EM are a histogram over (context bucket, log-ratios
 of the three estimates), whose size is bounded by its bins.
 
-Null text: the empty text, one end token.  Repeated rows count and are scored each.  Null ids: crc32 of the empty text.
+Words are told apart by 64-bit hashes: two words with one hash would count as one.
+
+Null text: the empty text, one end token.  Very long texts are one document of a chunk, whole.  Columns besides doc_id and
+text are not read.  Repeated rows count and are scored each.  Null ids: crc32 of the empty text.
 No training tokens: N = V = 0 and the model is uniform over one unknown word, log10 probability 0 a token.
 """
 
@@ -37,7 +40,8 @@ CHUNK_WORDS = 1_000_000
 #: Keys that one bucket adds up, by which the number of buckets follows the input.
 BUCKET_KEYS = 4_000_000
 CONTEXTS, STEP, ROUNDS = 32, 4, 30
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
+#: The key of the end token: the hash of a blank, which no word holds.
+END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 CHUNK = "chunk binary, doc_ids array<long>, part binary, n_tokens binary, words binary, tokens binary, n_words long, total_tokens long"
@@ -59,6 +63,11 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names.split())
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one: they are of several MB."""
+    return (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows))
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """Documents as chunks of about CHUNK_WORDS tokens; a document is never split."""
 
@@ -163,7 +172,7 @@ def word_counts(chunks: DataFrame, n_buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words, tokens, _, train, deleted = _local(row)
                 n = len(words)
                 columns = [np.bincount(tokens[which], minlength=n).astype(np.uint32) for which in (train, train & ~deleted)]
@@ -208,7 +217,7 @@ def pair_counts(chunks: DataFrame, n_buckets: int, word_buckets: int, n_kept: in
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, kept_words = _word_answers(row, word_buckets)
                 _, _, train, deleted, which, keys, context, word = _pairs(row)
                 n = len(keys)
@@ -279,7 +288,7 @@ def fitted(bins: list[tuple[int, float]]) -> np.ndarray:
 def scored(chunks: DataFrame, n_buckets: int, word_buckets: int, n: int, v: int, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words, _ = _word_answers(row, word_buckets)
                 tokens, sizes, _, _, which, keys, context, word = _pairs(row)
                 (pair,) = _answered(1, keys, n_buckets, {a["bucket"]: [expanded(a["train"], "<i8")] for a in row["pair_answers"]})
@@ -302,23 +311,18 @@ def scored(chunks: DataFrame, n_buckets: int, word_buckets: int, n: int, v: int,
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every document by a model trained on those whose id does not fall in the test part."""
     spark = docs.sparkSession
-    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     chunks = written(encoded(docs), "chunks")
     size = chunks.agg(F.sum("n_words").alias("w"), F.sum("total_tokens").alias("t")).first()
     least = int(re.sub(r"\D", "", spark.conf.get("spark.sql.shuffle.partitions")) or 1)
     word_buckets, pair_buckets = (max(1, min(least, 4 * math.ceil((x or 0) / 100_000)), math.ceil((x or 0) / BUCKET_KEYS)) for x in (size["w"], size["t"]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows of several MB
-    try:
-        counted = written(word_counts(chunks, word_buckets), "words")
-        total = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first()
-        known = with_answers(chunks, counted, "train", "kept")
-        pairs = written(pair_counts(known, pair_buckets, word_buckets, total["n_kept"], total["v_kept"]), "pairs")
-        held = pairs.select(F.explode(F.arrays_zip("bins", "weights")).alias("x")).groupBy(F.col("x.bins").alias("bin")).agg(F.sum("x.weights").alias("n"))
-        weights = fitted(sorted((r["bin"], r["n"]) for r in held.collect()))  # bounded by the bins
-        answers = pairs.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "train"))).alias("pair_answers"))
-        return written(scored(known.join(answers, "chunk"), pair_buckets, word_buckets, total["n"], total["v"], weights), "scores")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    counted = written(word_counts(chunks, word_buckets), "words")
+    total = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first()
+    known = with_answers(chunks, counted, "train", "kept")
+    pairs = written(pair_counts(known, pair_buckets, word_buckets, total["n_kept"], total["v_kept"]), "pairs")
+    held = pairs.select(F.explode(F.arrays_zip("bins", "weights")).alias("x")).groupBy(F.col("x.bins").alias("bin")).agg(F.sum("x.weights").alias("n"))
+    weights = fitted(sorted((r["bin"], r["n"]) for r in held.collect()))  # bounded by the bins
+    answers = pairs.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "train"))).alias("pair_answers"))
+    return written(scored(known.join(answers, "chunk"), pair_buckets, word_buckets, total["n"], total["v"], weights), "scores")
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,65 @@ def test_language_model(docs, texts, real, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_end_token_is_no_word(spark):
+    """A word that looks like an end does not count as one."""
+    found = lm_scoring.score(spark.createDataFrame([(0, "a \x00end b")], "doc_id long, text string")).first()
+    assert zlib.crc32(b"0") % 7 != 2 and (found.n_tokens, found.train_tokens) == (4, 4)
+    assert found.base_score == pytest.approx(4 * math.log10(2 / (4 + 4 + 1)))
+
+
+def interpolated(rows):
+    """Scores by deleted interpolation, straight from the definition: no hashes, no bins."""
+    part = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % lm_scoring.PARTS
+    tokens = lambda t: [*words((t or "").translate({c: c + 32 for c in range(65, 91)})), None]
+    every = [(part(i), tokens(t)) for i, t in rows]
+    pairs_of = lambda w: list(zip([None, *w[:-1]], w, strict=True))
+    bucket = lambda c: min(int(math.log2(c)) + 1, lm_scoring.CONTEXTS - 1) if c else 0
+
+    def counts(keep):
+        lists = [w for p, w in every if keep(p)]
+        return Counter(x for w in lists for x in w), Counter(x for w in lists for x in pairs_of(w))
+
+    one, two = counts(lambda p: p not in (lm_scoring.TEST_PART, lm_scoring.DELETED_PART))
+    n, v = sum(one.values()), len(one)
+    held = {}
+    for p, w in every:
+        if p == lm_scoring.DELETED_PART:
+            for a, b in pairs_of(w):
+                held.setdefault(bucket(one[a]), []).append((two[a, b] / max(one[a], 1), one[b] / max(n, 1), 1 / (v + 1)))
+    weights, known = {}, np.array([0.0, 0.5, 0.5])
+    for k in range(lm_scoring.CONTEXTS):
+        if k in held:
+            x, w = np.array(held[k]), np.full(3, 1 / 3)
+            for _ in range(lm_scoring.ROUNDS):
+                share = x * w
+                w = (share / share.sum(1, keepdims=True)).mean(0)
+            known = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+        weights[k] = known
+    one, two = counts(lambda p: p != lm_scoring.TEST_PART)
+    n, v = sum(one.values()), len(one)
+    found = []
+    for w in (w for _, w in every):
+        total = 0.0
+        for a, b in pairs_of(w):
+            x = weights[bucket(one[a])]
+            p = x[0] * two[a, b] / max(one[a], 1) + x[1] * one[b] / n + x[2] / (v + 1)
+            total += math.log10(p if one[a] else p / (1 - x[0]))
+        found.append(total)
+    return found
+
+
+def test_scores_against_the_definition(spark, real):
+    """The bins of the estimation step shift a score by a hundredth at most."""
+    rows = [(r.doc_id, r.text) for r in real.collect()]
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:40])] + [(None, "nothing new"), (5000, None), (5001, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "part", "words", "bucket", "score")})
+    mine = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in lm_scoring.score(df).collect())
+    expected = sorted((i is None, i or 0, s) for (i, _), s in zip(rows, interpolated(rows), strict=True))
+    assert [x[:2] for x in mine] == [x[:2] for x in expected]
+    assert all(a[2] == pytest.approx(b[2], rel=0.01, abs=0.01) for a, b in zip(mine, expected, strict=True))
+
+
 # 3 and 6
 
 
