@@ -22,16 +22,21 @@ from kgspark.llm.bpe import default_path
 from kgspark.llm.shared import scratch, shipped, table
 
 
+def _free_name(docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    return "score" + "_" * (1 + max(map(len, docs.columns)))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, docs.columns, "__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), _free_name(docs)
+    return quality.with_score(docs, model, docs.columns, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, docs.columns, "__score").filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), _free_name(docs)
+    return toxicity.with_score(docs, model, docs.columns, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
