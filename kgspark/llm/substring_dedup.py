@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import WordHashes, gram_hashes, lazily, mixed, scratch, shipped, signed, table, trimmed, written
+from kgspark.llm.shared import WordHashes, discard, gram_hashes, lazily, mixed, scratch, shipped, signed, table, trimmed, written
 
 WORDS, GRAM = 35, 6
 BATCHES, FAN_IN = 4, 4
@@ -158,7 +158,7 @@ class FingerprintIndex:
             raise ValueError("a gram is 1 to words long")
         self.spark, self.path, self.words, self.gram = shipped(spark), path or scratch(spark, "fingerprints"), words, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, DataFrame]] = []
+        self.runs: list[tuple[int, DataFrame]] = []  # level and table
         self.made = 0
 
     def _write(self, segments: DataFrame, level: int) -> DataFrame:
@@ -166,6 +166,7 @@ class FingerprintIndex:
         dealt = segments.repartition(self.buckets, "anchor")
         dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "content").option("compression", "zstd").option("path", f"{self.path}/run-{self.made:06d}-{level}").saveAsTable(name)
         run = self.spark.table(name)
+        run._kgspark_path = f"{self.path}/run-{self.made:06d}-{level}"
         self.spark.sql(f"DROP TABLE {name}")  # only the name goes: the files and what is known of their buckets stay with ``run``
         self.made += 1
         self.runs.append((level, run))
@@ -176,13 +177,18 @@ class FingerprintIndex:
         return self._write(docs.select("text_hash", "size", "id", "text").mapInArrow(_segments(self.words, self.gram), SEGMENTS), 0)
 
     def compact(self) -> None:
-        """Merges the runs of every level that has FAN_IN of them into one run of the next level; files of old runs stay for jobs that read them."""
+        """Merges the runs of every level that has FAN_IN of them into one run of the next level.
+
+        The old runs are deleted: what ``met`` and ``stretches`` give does not read them any more.
+        """
         level = 0
         while any(x >= level for x, _ in self.runs):
             due = [run for x, run in self.runs if x == level]
             if len(due) >= FAN_IN:
                 self.runs = [(x, run) for x, run in self.runs if x != level]
                 self._write(reduce(DataFrame.union, due), level + 1)
+                for run in due:
+                    discard(run)
             level += 1
 
     def met(self, run: DataFrame) -> DataFrame:
