@@ -80,12 +80,29 @@ def closure_instance(spark, d):
 
 @query(with_("type_edges", "closure") + " SELECT subclass AS entity FROM closure WHERE superclass = 'Q12' UNION SELECT 'Q12'")
 def descendants(spark, d):
-    return C.descendants(C.closure(demo.type_edges(spark, d)), "Q12")
+    return C.below(demo.type_edges(spark, d), "Q12")
 
 
 @query(with_("type_edges", "closure") + " SELECT superclass AS entity FROM closure WHERE subclass = 'Q1100' UNION SELECT 'Q1100'")
 def ancestors(spark, d):
-    return C.ancestors(C.closure(demo.type_edges(spark, d)), "Q1100")
+    return C.above(demo.type_edges(spark, d), "Q1100")
+
+
+_SEEDS, _SMALL = "(SELECT 'Q1' || s_suppkey FROM supplier)", "(SELECT 'Q1' || p_partkey FROM part WHERE p_size <= 10)"
+
+
+@query(with_("type_edges", "closure") + f" SELECT DISTINCT superclass AS entity FROM closure WHERE subclass IN {_SMALL} AND superclass NOT IN {_SMALL}")
+def closure_outside(spark, d):
+    """Classes above the small parts that are not small parts."""
+    seeds = table(spark, d, "part").filter("p_size <= 10").select(demo.qid(demo.PART, "p_partkey").alias("item"))
+    return C.outside(demo.type_edges(spark, d), seeds)
+
+
+@query(with_("type_edges", "closure") + f" SELECT subclass AS item, superclass, row_number() OVER (PARTITION BY subclass ORDER BY superclass) AS place FROM closure WHERE subclass IN {_SEEDS} ORDER BY 1, 2")
+def closure_ordered(spark, d):
+    """Superclasses of items in order, each with its place."""
+    seeds = table(spark, d, "supplier").select(demo.qid(demo.PART, "s_suppkey").alias("item"))
+    return C.ordered(C.closure(demo.type_edges(spark, d), seeds))
 
 
 _SETS = """, places AS (SELECT subclass AS entity FROM closure WHERE superclass = 'Q12' UNION SELECT 'Q12' EXCEPT (SELECT subclass FROM closure WHERE superclass IN ('Q19', 'Q110') UNION SELECT unnest(['Q19', 'Q110']))),
@@ -180,6 +197,23 @@ def sameas(spark, d):
     return retrieve.sameas(demo.items(spark, d), asked)
 
 
+@query(with_("items") + " SELECT entity, CASE WHEN kind = 'type' THEN 'wikidata' ELSE '' END AS sites FROM items")
+def sameas_lists(spark, d):
+    """Lists of links of all entities, of which only types have any here: an entity without links has an empty list."""
+    items = demo.items(spark, d).withColumn("urls", F.when(F.col("kind") == "type", F.col("urls")))
+    return retrieve.sameas_lists(items, entities(items, "entity")).select("entity", F.array_join(F.transform("urls", lambda u: u["site"]), " ").alias("sites"))
+
+
+@query(with_("items") + " SELECT entity, CAST(substr(entity, 2) AS BIGINT) AS number FROM items")
+def numeric_ids(spark, d):
+    return demo.items(spark, d).select("entity", T.numeric_id(F.col("entity")).alias("number"))
+
+
+@query(with_("items") + " SELECT ner_type, count(*) AS entities FROM items GROUP BY 1")
+def ner_counts(spark, d):
+    return names.ner_counts(demo.items(spark, d))
+
+
 def _summary_sql(source: str, order: str, where: str = "true") -> str:
     return with_(source) + f' SELECT subject AS entity, predicate, count(*) AS "count" FROM {source} WHERE {where} GROUP BY 1, 2 ORDER BY 3 {order}, 1, 2 LIMIT 10'
 
@@ -199,6 +233,11 @@ def summary_literals(spark, d):
     return retrieve.summary(retrieve.summary_table(demo.literals(spark, d)), ["Q21", "Q22", "Q51", "Q52"])
 
 
+@query(_summary_sql("literals", "ASC"))
+def summary_literals_all(spark, d):
+    return retrieve.summary(retrieve.summary_table(demo.literals(spark, d)), rank_order="asc")
+
+
 def _bag_sql(text: str) -> str:
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
     return f"list_filter(list_distinct(regexp_split_to_array(lower(trim({text})), '[^\\p{{L}}\\p{{N}}]+')), lambda w: w <> '' AND NOT list_contains([{stop}], w))"
@@ -210,13 +249,13 @@ def bow_tokens(spark, d):
 
 
 @query(
-    f"WITH r AS (SELECT item_id AS row_id, {_bag_sql('text')} AS words FROM benchmark), c AS (SELECT doc_id AS entity, {_bag_sql('text')} AS bag FROM documents), n AS (SELECT count(*) AS n FROM benchmark) "
-    "SELECT row_id, entity, round(CASE WHEN len(words) = 0 THEN 0 ELSE len(list_intersect(words, bag)) / len(words) END, 9) AS similarity, array_to_string(list_sort(list_intersect(words, bag)), ' ') AS matched FROM c, n JOIN r ON row_id = entity % n"
+    f"WITH r AS (SELECT item_id AS row_id, {_bag_sql('text')} AS words FROM benchmark), c AS (SELECT doc_id AS entity, {_bag_sql('text')} AS bag FROM documents), p AS (SELECT DISTINCT l_suppkey AS row_id, l_partkey AS entity FROM lineitem) "
+    "SELECT row_id, entity, round(CASE WHEN len(words) = 0 THEN 0 ELSE len(list_intersect(words, bag)) / len(words) END, 9) AS similarity, array_to_string(list_sort(list_intersect(words, bag)), ' ') AS matched FROM p JOIN r USING (row_id) JOIN c USING (entity)"
 )
 def bow_similarity(spark, d):
-    """Every document is asked for by one benchmark text."""
+    """Documents and benchmark texts whose numbers meet as part and supplier of an order line."""
     texts, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    pairs = docs.select((F.col("doc_id") % texts.count()).alias("row_id"), F.col("doc_id").alias("entity"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("entity")).distinct()
     rows, bags = retrieve.bags(texts.withColumnRenamed("item_id", "row_id"), "row_id"), retrieve.bags(docs.withColumnRenamed("doc_id", "entity"), "entity")
     return retrieve.bow_similarity(rows, bags, pairs).select("row_id", "entity", F.round("similarity", 9).alias("similarity"), joined("matched"))
 
@@ -272,7 +311,8 @@ def corpus_stats(spark, d):
 # Lookup
 
 
-LIMIT = 20
+#: The default of a lookup.
+LIMIT = 1000
 CLASSES = ["Q110", "Q111", "Q112", "Q125", "Q150", "Q199"]
 
 
@@ -313,7 +353,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> lookup.Index:
     items = demo.items(spark, d)
-    return lookup.index(names.names(items), items)
+    return lookup.stored(lookup.index(names.names(items), items))
 
 
 def _hits(spark, d, fuzzy=False, filters=None, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +424,8 @@ def lookup_dedup(spark, d):
 
 @query(_lookup_sql(" SELECT mention AS mention_id, entity, coalesce(b.type, '') AS type_id, coalesce(t.label, b.type, '') AS type_name FROM best b LEFT JOIN (SELECT entity AS e, label FROM items WHERE kind = 'type') t ON t.e = b.type"))
 def lookup_type_labels(spark, d):
-    rows = lookup.with_type_labels(lookup.best_forms(lookup.features(*_hits(spark, d))), _index(spark, d).type_labels)
+    cleaned, ix = lookup.mentions_of(_mentions(spark, d)), _index(spark, d)
+    rows = lookup.with_type_labels(lookup.best_forms(lookup.features(cleaned, lookup.hits(cleaned, ix, LIMIT))), ix.type_labels)
     return rows.select("mention_id", "entity", F.array_join(F.transform("types", lambda t: t["id"]), " ").alias("type_id"), F.array_join(F.transform("types", lambda t: t["name"]), " ").alias("type_name"))
 
 

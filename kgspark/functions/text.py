@@ -60,6 +60,11 @@ def knowledge_graph(entity: Column) -> Column:
     return F.when(entity.rlike(r"^[QP]\d+$"), "wikidata").otherwise("dbpedia")
 
 
+def numeric_id(entity: Column) -> Column:
+    """The number of an id such as Q42; null for other ids."""
+    return F.when(entity.rlike(r"^[A-Z]\d+$"), F.substring(entity, F.lit(2), F.length(entity)).try_cast("long"))
+
+
 def abbreviations(name: Column) -> Column:
     """Dotted forms of a person's name: the i-th abbreviates the first i words; the last word never, the 0-th is the name."""
     words = F.split(name, " ")

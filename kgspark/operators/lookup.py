@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.operators import names as N
+from kgspark.plans.tables import written
 
 K1, B = 1.2, 0.75
 # Boosts and penalties of clauses.
@@ -51,6 +52,12 @@ def index(named: DataFrame, items: DataFrame | None = None) -> Index:
     return Index(named, posted, N.vocabulary(posted), N.corpus_stats(named), labels)
 
 
+def stored(ix: Index) -> Index:
+    """The index as written tables: built once, whatever a query reads of it and how often."""
+    named, posted = written(ix.names, "names"), written(ix.postings, "postings")
+    return Index(named, posted, written(N.vocabulary(posted), "vocabulary"), written(N.corpus_stats(named), "stats"), ix.type_labels)
+
+
 def mentions_of(mentions: DataFrame) -> DataFrame:
     """(mention_id, mention, ntoken_mention, length_mention) of (mention_id, name), cleaned."""
     cleaned = mentions.select("mention_id", T.clean(F.col("name")).alias("mention"))
@@ -100,8 +107,11 @@ def hits(cleaned: DataFrame, ix: Index, limit: int, fuzzy: bool = False, filters
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     known = terms.join(ix.vocabulary.select("term", "df"), "term").join(ix.postings, "term").join(F.broadcast(ix.stats), F.lit(True))  # statistics: one row
     scored = known.groupBy("mention_id", "doc_id").agg(F.sum(F.col("times") * weight * (1.0 if fuzzy else EXACT_BOOST)).alias("bm25"))
-    rows = filtered(scored.join(ix.names, "doc_id"), filters, where).withColumn("score", F.round("score", 9))
     of = Window.partitionBy("mention_id")
+    if filters == Filters() and not where:
+        # Nothing but the score decides: only names that can be among the best, ties included, meet the wide table.
+        scored = scored.withColumn("place", F.rank().over(of.orderBy(F.round("bm25", 9).desc()))).filter(F.col("place") <= limit).drop("place")
+    rows = filtered(scored.join(ix.names, "doc_id"), filters, where).withColumn("score", F.round("score", 9))
     ranked = rows.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), F.desc("popularity"), "entity", "name", "is_alias"))).filter(F.col("rank") <= limit)
     pos, es = F.col("rank") / F.count("*").over(of), F.col("score") / F.max("score").over(of)
     return ranked.withColumns({"pos_score": pos, "es_score": es if normalize else F.col("score"), "popularity_out": F.col("popularity_norm") if normalize else F.col("popularity").cast("double")})

@@ -85,3 +85,14 @@ def keep_latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
 def duplicated(rows: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def ner_counts(items: DataFrame) -> DataFrame:
+    """(ner_type, entities)."""
+    return items.groupBy("ner_type").agg(F.count("*").alias("entities"))
+
+
+def described(description: Column, lang: str = "en") -> Column:
+    """A description that is a map by language: that of a language, else the first by language code, else empty."""
+    first = F.try_element_at(F.array_sort(F.map_keys(description)), F.lit(1))
+    return F.coalesce(F.try_element_at(description, F.lit(lang)), F.try_element_at(description, first), F.lit(""))

@@ -59,6 +59,12 @@ def sameas(items: DataFrame, ids: DataFrame) -> DataFrame:
     return _of(items, ids).select("entity", F.explode(F.coalesce("urls", F.create_map().cast("map<string,string>"))).alias("site", "url"))
 
 
+def sameas_lists(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity, urls array<struct<site, url>>): every requested entity that is known, with an empty list where it has no links."""
+    urls = F.transform(F.array_sort(F.map_keys(F.coalesce("urls", F.create_map().cast("map<string,string>")))), lambda k: F.struct(k.alias("site"), F.col("urls")[k].alias("url")))
+    return _of(items, ids).select("entity", urls.alias("urls"))
+
+
 def summary_table(table: DataFrame) -> DataFrame:
     """(entity, predicate, count) of edges or literals."""
     return table.groupBy(F.col("subject").alias("entity"), "predicate").agg(F.count("*").alias("count"))

@@ -148,3 +148,18 @@ def test_small_ones(spark, rows):
     ties = retrieve.summary(spark.createDataFrame([("b", "p", 2), ("a", "p", 2), ("c", "p", 1)], "entity string, predicate string, count long"), k=2)
     assert [r.entity for r in ties.collect()] == ["a", "b"]
     assert classify.columns(spark.createDataFrame([("t", 0, None)], "table_id string, col_id int, value string")).first().probability == 0
+
+
+def test_closure_from_one_root_and_from_a_table(spark, rows, tmp_path):
+    edges = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("C", "D"), ("E", "D"), ("E", "D")], "child string, parent string")
+    assert rows(C.above(edges, "E")) == [("D",), ("E",)] and rows(C.below(edges, "D")) == [("A",), ("B",), ("C",), ("D",), ("E",)]
+    asked = spark.createDataFrame([("B",), ("E",)], "item string")
+    assert rows(C.outside(edges, asked)) == [("A",), ("C",), ("D",)]
+    computed = rows(C.stored_or_computed(edges, f"{tmp_path}/none"))
+    C.closure(edges).write.parquet(f"{tmp_path}/closure")
+    assert rows(C.stored_or_computed(edges, f"{tmp_path}/closure")) == computed
+
+
+def test_descriptions_by_language(spark):
+    found = spark.sql("SELECT map('en', 'a', 'de', 'b') AS d UNION ALL SELECT map('fr', 'c', 'de', 'b') UNION ALL SELECT cast(null AS map<string, string>)")
+    assert sorted(r[0] for r in found.select(names.described(F.col("d"))).collect()) == ["", "a", "b"]
