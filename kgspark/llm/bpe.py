@@ -8,6 +8,8 @@ compatible when no merge across their border would have come before the merges t
 prefixes are so computed once, in time linear in the trie.
 
 Null text: encoded as the empty text (no ids).  Special tokens in a text are ids of their own, as in the library.
+Repeated rows: each gets its row.  Null ids stay null.  Very long texts are encoded in blocks, with the ids of the whole.
+Columns besides doc_id and text are not read, so their names do not matter.  No documents: no rows.
 """
 
 from __future__ import annotations

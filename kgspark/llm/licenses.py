@@ -15,7 +15,8 @@ touched by DataFrame functions: substring tests choose documents, then paragraph
 feature, so that those tests decide nothing that the model would decide otherwise.  No shuffle, no join.
 
 Null or empty text: no paragraph.  Repeated rows and repeated lines: each is reported.  Very long lines: whole.
-Of overlapping notices of one family the first is reported.
+Of overlapping notices of one family the first is reported.  Null ids stay null.  Columns besides doc_id and text are not
+read, so their names do not matter.  No documents: no rows.
 """
 
 from __future__ import annotations

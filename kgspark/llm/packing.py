@@ -8,7 +8,9 @@ gives the count of each length.  A pattern is used as often as its counts last,
 one length, so that the plan stays small however many documents there are.  Pieces then find their place from their
 rank within their length: ranks come from counts of salted sub-groups, so a length that most documents share is spread.
 
-Null text: an empty document, one end id.  Repeated rows: each is a document of its own.  No documents: no pieces.
+Null text: an empty document, one end id.  Repeated rows: each is a document of its own.  No documents: no pieces.  Null
+ids stay null.  Very long texts: cut into pieces of a window's length and a rest.  Columns besides doc_id and text are not
+read, so their names do not matter.
 """
 
 from __future__ import annotations

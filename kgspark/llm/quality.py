@@ -8,6 +8,8 @@ quantile.
 Features are shares over the whole text: punctuation and digits by bytes, words in capitals, words like the one before,
 distinct words, the most frequent word, repeated lines, table bars, mean word length.  Null or empty text: all shares 0.
 No labels of one kind: no preference can be learnt; every score is then the share of good labels (1 without labels).
+Repeated rows: each gets its row.  An id with several texts trains with the smallest of them.  Very long texts are read
+whole.  Further columns are carried along only where asked for, whatever their names; the caller names the score.
 """
 
 from __future__ import annotations

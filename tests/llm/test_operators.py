@@ -422,6 +422,22 @@ def test_signatures_agree_like_the_sets():
 # 8 and 10
 
 
+def test_clashing_columns(spark, docs, texts):
+    """Columns named like those that the operators make change nothing."""
+    clash = docs.withColumns({c: F.lit("x") for c in ("ids", "n_tokens", "start", "length", "rank", "part", "family", "paragraph", "words", "lines", "score", "held_out", "label", "hash")})
+    for run in (lambda df: bpe.digests(df, PATH), lambda df: packing.pack(df, PATH).drop("sequence_id", "offset"), licenses.scan, substring_dedup.digests):
+        assert count(run(clash)) == count(run(docs))
+    marks = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(14)], "doc_id long, quality int, toxic int, text string")
+    for module in (quality, toxicity):
+        scored = module.with_score(clash, module.fit(clash, marks), clash.columns, "__score")
+        assert scored.columns == [*clash.columns, "__score"] and scored.count() == len(texts)
+
+
+def test_licence_of_a_null_id(spark):
+    found = licenses.scan(spark.createDataFrame([(None, "Licensed under the Apache License, Version 2.0.")] * 2, "doc_id long, text string"))
+    assert [(r.doc_id, r.family) for r in found.collect()] == [(None, "Apache-2.0")] * 2
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
