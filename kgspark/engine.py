@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgspark import validate
+from kgspark import schema, validate
 from kgspark.operators import classify, lookup, names, retrieve
 from kgspark.plans import closure as C
 from kgspark.plans.tables import written
-from kgspark.sources import dump, snapshots
+from kgspark.sources import company_csv, dump, snapshots
 
 
 def build(raw: DataFrame, root: str, kg: str, date: str, known: DataFrame | None = None) -> None:
@@ -20,10 +21,25 @@ def build(raw: DataFrame, root: str, kg: str, date: str, known: DataFrame | None
     type_edges = dump.type_edges(entities)
     pairs = written(C.closure(type_edges.filter("property = 'P279'")), "closure")
     items = written(dump.typed(dump.items(fresh).dropDuplicates(["entity"]), pairs, C.class_set(pairs, *dump.PLACE), C.class_set(pairs, *dump.ORGANISATION)), "items")
-    named = written(names.names(items), "names")
+    _write({"items": items, "edges": dump.edges(fresh), "literals": dump.literals(fresh), "type_edges": type_edges.dropDuplicates(), "closure": pairs}, root, kg, date)
+
+
+def build_companies(main: DataFrame, extra: DataFrame, root: str, kg: str, date: str) -> None:
+    """A company list and its descriptions and ranks (``company_csv``) to a snapshot; of repeated permalinks one stays.
+
+    Extended types are the explicit ones, and there are no edges, no type hierarchy and no links.
+    """
+    spark = main.sparkSession
+    items = company_csv.items(main, extra).dropDuplicates(["entity"]).withColumns({"extended_types": F.col("explicit_types"), "urls": F.create_map().cast("map<string,string>")})
+    none = {name: spark.createDataFrame([], ddl) for name, ddl in (("edges", schema.EDGES), ("type_edges", schema.TYPE_EDGES), ("closure", schema.CLOSURE))}
+    _write({"items": written(items, "items"), "literals": company_csv.literals(main).dropDuplicates()} | none, root, kg, date)
+
+
+def _write(tables: dict[str, DataFrame], root: str, kg: str, date: str) -> None:
+    """The tables of a snapshot and the name index made from its items."""
+    named = written(names.names(tables["items"]), "names")
     posted = written(names.postings(named), "postings")
-    tables = {"items": items, "edges": dump.edges(fresh), "literals": dump.literals(fresh), "type_edges": type_edges.dropDuplicates(), "closure": pairs, "names": named, "postings": posted, "vocabulary": names.vocabulary(posted)}
-    snapshots.write(tables, root, kg, date)
+    snapshots.write(tables | {"names": named, "postings": posted, "vocabulary": names.vocabulary(posted)}, root, kg, date)
 
 
 class KnowledgeGraph:

@@ -163,3 +163,15 @@ def test_closure_from_one_root_and_from_a_table(spark, rows, tmp_path):
 def test_descriptions_by_language(spark):
     found = spark.sql("SELECT map('en', 'a', 'de', 'b') AS d UNION ALL SELECT map('fr', 'c', 'de', 'b') UNION ALL SELECT cast(null AS map<string, string>)")
     assert sorted(r[0] for r in found.select(names.described(F.col("d"))).collect()) == ["", "a", "b"]
+
+
+def test_companies_as_a_snapshot(spark, tmp_path):
+    """A company list is found by name, with its rank, description and literals; a repeated permalink counts once."""
+    main = spark.createDataFrame([("a", "Acme Works", "x", "5"), ("a", "Acme Works", "x", "5"), ("b", "Other Works", None, None), (None, "No Key", None, "1")], "permalink string, name string, alias1 string, size string")
+    extra = company_csv.latest_extra(spark.createDataFrame([("a", "u", "makes things", 7.0)], "permalink string, cb_url string, description string, rank double"))
+    engine.build_companies(main, extra, str(tmp_path), "companies", "20240101")
+    graph = engine.KnowledgeGraph(spark, str(tmp_path), "companies")
+    assert sorted((r.entity, r.description, r.popularity) for r in graph.table("items").collect()) == [("a", "makes things", 7), ("b", "", 0)]
+    found = graph.lookup(["acme works"]).collect()
+    assert {r.id for r in found} == {"a", "b"} and max(found, key=lambda r: r.ed_score).id == "a"
+    assert {(r.subject, r.predicate, r.value) for r in graph.table("literals").collect()} == {("a", "size", "5")}
