@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark import engine
 from kgspark.functions import literals as L
 from kgspark.functions import text as T
 from kgspark.operators import classify, lookup, names, retrieve
 from kgspark.plans import closure as C
-from kgspark.sources import company_csv, demo, dump, snapshots
+from kgspark.plans import tables
+from kgspark.sources import company_csv, demo, dump, edges_tsv, snapshots
 from kgspark.sources.demo import table, with_
+from kgspark.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -610,3 +614,157 @@ _DATABASES = [("kgdemo01012024", "DONE"), ("kgdemo15062024", "DONE"), ("kgdemo31
 @query("SELECT * FROM (VALUES ('kgdemo', 'kgdemo15062024', DATE '2024-06-15'), ('other', 'other05052020', DATE '2020-05-05')) t(kg, name, date)")
 def snapshot_latest(spark, d):
     return snapshots.resolved(spark.createDataFrame(_DATABASES, "name string, status string"))
+
+
+# Dumps and snapshots as files
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this run in the shared folder, removed when the session's JVM ends."""
+    path = f"{tables.shared_dir(spark)}/kgspark/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+#: A claim of each datatype, as JSON around the supplier's key, with what its literal is (None: none).
+_CLAIMS = [
+    ("P20", "external-id", '"x{}"', "STRING", "x{}"), ("P21", "quantity", '{"amount":"+{}"}', "NUMBER", "+{}"), ("P22", "globe-coordinate", '{"latitude":{}.5,"longitude":-1.25}', "STRING", "{}.5,-1.25"), ("P23", "string", '"s {}"', "STRING", "s {}"),
+    ("P24", "monolingualtext", '{"language":"en","text":"t {}"}', "STRING", "t {}"), ("P25", "commonsMedia", '"{}.png"', "STRING", "{}.png"), ("P26", "time", '{"time":"+2001-01-01T00:00:0{}Z"}', "DATETIME", "+2001-01-01T00:00:0{}Z"), ("P27", "url", '"http://example.org/{}"', "STRING", "http://example.org/{}"),
+    ("P28", "geo-shape", '"Data:{}.map"', "GEOSHAPE", "Data:{}.map"), ("P29", "math", '"x_{}"', "MATH", "x_{}"), ("P30", "musical-notation", '"c{}"', "MUSICAL_NOTATION", "c{}"), ("P31", "wikibase-item", '{"id":"Q63"}', None, None),
+    ("P32", "tabular-data", '"Data:{}.tab"', "TABULAR_DATA", "Data:{}.tab"), ("P33", "wikibase-lexeme", '{"id":"L{}"}', None, None), ("P34", "wikibase-property", '{"id":"P{}"}', None, None),
+]
+
+
+def _dump_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(at, value): suppliers with a claim of each datatype, nations as disambiguations, regions as properties, a line that is broken."""
+    claims = ",".join(f'"{p}":[{{"mainsnak":{{"property":"{p}","datatype":"{kind}","datavalue":{{"value":{value}}}}}}}]' for p, kind, value, _, _ in _CLAIMS)
+    said = lambda name: F.concat(F.lit('"labels":{"en":{"language":"en","value":"'), name, F.lit('"}},"aliases":{"en":[{"language":"en","value":"'), F.lower(name), F.lit('"},{"language":"en","value":"'), F.lower(name), F.lit('"}]},'))
+    line = lambda key, name, body: F.concat(F.lit('{"id":"'), key, F.lit('",'), said(name), F.lit('"claims":{'), body, F.lit("}},"))
+    supplier = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("at"), line(demo.qid(demo.SUPPLIER, "s_suppkey"), F.col("s_name"), F.replace(F.lit(claims), F.lit("{}"), F.col("s_suppkey").cast("string"))).alias("value"))
+    of_kind = F.lit('"P31":[{"mainsnak":{"property":"P31","datatype":"wikibase-item","datavalue":{"value":{"id":"Q4167410"}}}}]')
+    nation = table(spark, d, "nation").select((F.col("n_nationkey") - 1000).cast("long").alias("at"), line(demo.qid(demo.NATION, "n_nationkey"), F.col("n_name"), of_kind).alias("value"))
+    region = table(spark, d, "region").select((F.col("r_regionkey") - 2000).cast("long").alias("at"), line(F.concat(F.lit("P9"), F.col("r_regionkey").cast("string")), F.col("r_name"), F.lit("")).alias("value"))
+    edge = spark.createDataFrame([(-3000, "["), (-2999, '{"id":"Q77","labels":{broken},}'), (2**40, "]")], "at long, value string")
+    return edge.union(region).union(nation).union(supplier)
+
+
+def _dump_files(spark: SparkSession, d: str) -> str:
+    """A folder of compressed files whose names and lines are in the order of ``at``."""
+    path = _scratch(spark, "dump")
+    _dump_lines(spark, d).repartitionByRange(4, "at").sortWithinPartitions("at").select("value").write.option("compression", "bzip2").text(path)
+    return path
+
+
+_KINDS = "(SELECT 'Q3' || s_suppkey AS entity, 'entity' AS kind, s_name AS label, lower(s_name) AS aliases FROM supplier UNION ALL SELECT 'Q4' || n_nationkey, 'disambiguation', n_name, lower(n_name) FROM nation UNION ALL SELECT 'P9' || r_regionkey, 'predicate', r_name, lower(r_name) FROM region)"
+_ALL_LITERALS = " UNION ALL ".join(f"SELECT 'Q3' || s_suppkey AS subject, '{p}' AS predicate, '{bucket}' AS datatype, replace('{said}', '{{}}', CAST(s_suppkey AS VARCHAR)) AS value FROM supplier" for p, _, _, bucket, said in _CLAIMS if bucket)
+
+
+def _kinds(entities: DataFrame) -> DataFrame:
+    return dump.items(entities).select("entity", "kind", F.col("labels")["en"].alias("label"), F.array_join(F.col("aliases")["en"], "|").alias("aliases"))
+
+
+@query(f"SELECT * FROM {_KINDS}")
+def dump_file_kinds(spark, d):
+    return _kinds(dump.parsed(dump.lines(spark, _dump_files(spark, d)), prefix=None))
+
+
+@query(_ALL_LITERALS)
+def dump_file_datatypes(spark, d):
+    return dump.literals(dump.parsed(dump.lines(spark, _dump_files(spark, d)))).drop("pos")
+
+
+@query("SELECT 'Q3' || s_suppkey AS entity FROM supplier QUALIFY row_number() OVER (ORDER BY s_suppkey) > 3")
+def dump_skip_lines(spark, d):
+    ahead = table(spark, d, "nation").count() + table(spark, d, "region").count() + 2
+    return dump.parsed(dump.skipped(spark, _dump_files(spark, d), ahead + 3)).select(F.col("id").alias("entity"))
+
+
+@query("SELECT 'Q3' || s_suppkey AS entity FROM supplier WHERE s_suppkey >= 5")
+def dump_resume(spark, d):
+    return dump.parsed(dump.resumed(spark, _dump_files(spark, d), "Q35")).select(F.col("id").alias("entity"))
+
+
+@query(f"SELECT * FROM {_KINDS} WHERE kind <> 'predicate'")
+def dump_pipe(spark, d):
+    rows = _dump_lines(spark, d).select("value").toLocalIterator(prefetchPartitions=True)  # stands for a pipe
+    return _kinds(dump.parsed(dump.piped(spark, (r.value + "\n" for r in rows))))
+
+
+@query(
+    "SELECT s + n + r + 3 AS lines, s + n + r AS entities, 1 AS errors, 2 * s + n AS edges, "
+    f"{sum(bool(c[3]) for c in _CLAIMS)} * s AS literals FROM (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r)"
+)
+def dump_counters(spark, d):
+    return dump.counters(dump.lines(spark, _dump_files(spark, d))).drop("mean_size")
+
+
+@query("SELECT 'Q3' || s_suppkey AS entity FROM supplier WHERE 'Q3' || s_suppkey NOT IN (SELECT 'Q3' || r_regionkey FROM region)")
+def dump_skip_known(spark, d):
+    known = table(spark, d, "region").select(demo.qid(demo.SUPPLIER, "r_regionkey").alias("id"))
+    entities = dump.parsed(dump.lines(spark, _dump_files(spark, d))).filter(F.col("id").startswith("Q3"))
+    return dump.without_known(entities, known, "id").select(F.col("id").alias("entity"))
+
+
+@query(f"SELECT * FROM {_KINDS} WHERE kind <> 'predicate'")
+def dump_stream(spark, d):
+    """The files of a dump as a stream that stops when all have been read."""
+    out, checkpoint = _scratch(spark, "streamed"), _scratch(spark, "stream-checkpoint")
+    ingest.follow(spark, _dump_files(spark, d), out, checkpoint, files_at_once=2).awaitTermination()
+    read = spark.read.parquet(f"{out}/items")
+    return read.select("entity", "kind", F.col("labels")["en"].alias("label"), F.array_join(F.col("aliases")["en"], "|").alias("aliases"))
+
+
+@query(with_("instances") + " SELECT child, parent FROM instances")
+def edges_file(spark, d):
+    path = _scratch(spark, "edges")
+    once = demo.instances(spark, d)
+    edges_tsv.write(once, path)
+    edges_tsv.write(once.filter("parent LIKE 'Q11%'"), path, "append")  # what is added again counts once
+    return edges_tsv.read(spark, path)
+
+
+@query(with_("edges") + " SELECT subject, predicate, object FROM edges")
+def snapshot_newest(spark, d):
+    """Written twice, under two dates; the newest is read."""
+    root, edges = _scratch(spark, "snapshots"), demo.edges(spark, d)
+    snapshots.write({"edges": edges.filter("predicate = 'P1'")}, root, "demo", "20240101")
+    snapshots.write({"edges": edges}, root, "demo", "20240201")
+    return snapshots.read(spark, root, "demo", "edges").select("subject", "predicate", "object")
+
+
+@query(
+    f"SELECT entity, kind, label, term, CAST(df AS BIGINT) AS df FROM {_KINDS} CROSS JOIN LATERAL (SELECT unnest(list_distinct(string_split(lower(label), ' '))) AS term) "
+    f"JOIN (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(string_split(lower(label), ' '))) AS term FROM {_KINDS} WHERE kind <> 'predicate') GROUP BY 1) USING (term) WHERE kind <> 'predicate'"
+)
+def snapshot_extended(spark, d):
+    """A snapshot of the first lines, extended by all lines, twice: every name is indexed once."""
+    root, lines = _scratch(spark, "extended"), _dump_lines(spark, d)
+    engine.build(lines.filter("at < 4").select("value"), root, "demo", "20240101")
+    for date in ("20240201", "20240301"):
+        engine.extend(lines.select("value"), root, "demo", date)
+    graph = engine.KnowledgeGraph(spark, root, "demo")
+    label = graph.table("items").select("entity", "kind", F.col("labels")["en"].alias("label"))
+    posted = graph.table("postings").join(graph.table("names").select("doc_id", "entity"), "doc_id").join(graph.table("vocabulary"), "term")
+    return label.join(posted.select("entity", "term", "df"), "entity")
+
+
+@query(with_("type_edges", "closure") + " SELECT subclass, superclass FROM closure")
+def closure_stored(spark, d):
+    """From the stored table, since there is one."""
+    path, edges = _scratch(spark, "closure"), demo.type_edges(spark, d)
+    C.stored_or_computed(edges, path).write.parquet(path)
+    return C.stored_or_computed(edges, path).select("subclass", "superclass")
+
+
+@query("SELECT * FROM (VALUES ('kgdemo01012024', 'kgdemo'), ('kgdemo15062024', 'kgdemo'), ('kgdemo31122024', 'kgdemo'), ('other05052020', 'other')) t(name, index_name)")
+def index_names(spark, d):
+    return spark.createDataFrame(_DATABASES, "name string, status string").select("name", snapshots.index_name(F.col("name")).alias("index_name"))
+
+
+@query(_lookup_sql(" SELECT mention AS mention_id, entity, name, is_alias, rank, round(score, 6) AS es_score, CAST(popularity AS DOUBLE) AS popularity FROM ranked", mention="p_name"))
+def lookup_raw_scores(spark, d):
+    """Scores and popularity as they are, not as shares of the largest."""
+    cleaned = lookup.mentions_of(_mentions(spark, d))
+    ranked = lookup.hits(cleaned, _index(spark, d), LIMIT, normalize=False)
+    return _rounded(ranked, "es_score").select("mention_id", "entity", "name", "is_alias", "rank", "es_score", F.col("popularity_out").alias("popularity"))

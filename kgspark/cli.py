@@ -26,8 +26,11 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     build = commands.add_parser("build")
-    build.add_argument("dump")
+    build.add_argument("dump", help="a file or folder of lines, or - for lines that come through a pipe")
     build.add_argument("date")
+    build.add_argument("--add", action="store_true", help="to what the newest snapshot has")
+    build.add_argument("--skip-lines", type=int, default=0)
+    build.add_argument("--resume-from", help="the first entity to read; goes before --skip-lines")
     look = command("lookup", "names")
     look.add_argument("--limit", type=validate.limit, default=10)
     look.add_argument("--ids", nargs="+")
@@ -57,11 +60,21 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _lines(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    if a.dump == "-":
+        if a.resume_from or a.skip_lines:
+            raise ValueError("lines from a pipe cannot be skipped")
+        return dump.piped(spark, sys.stdin)
+    if a.resume_from:
+        return dump.resumed(spark, a.dump, a.resume_from)
+    return dump.skipped(spark, a.dump, a.skip_lines) if a.skip_lines > 0 else dump.lines(spark, a.dump)
+
+
 def answered(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     g = engine.KnowledgeGraph(spark, a.root, a.kg, a.date if a.command != "build" else None)
     match a.command:
         case "build":
-            return engine.build(dump.lines(spark, a.dump), a.root, a.kg, a.date)
+            return (engine.extend if a.add else engine.build)(_lines(spark, a), a.root, a.kg, a.date)
         case "lookup":
             return g.lookup(a.names, a.limit, a.fuzzy, a.kind, a.ner_type, a.types, a.extended_types, a.language, a.ids, a.query, a.soft_filtering, a.normalize_score).orderBy("mention_id", "position")
         case "types" | "objects" | "literals" | "sameas":

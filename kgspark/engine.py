@@ -24,6 +24,25 @@ def build(raw: DataFrame, root: str, kg: str, date: str, known: DataFrame | None
     _write({"items": items, "edges": dump.edges(fresh), "literals": dump.literals(fresh), "type_edges": type_edges.dropDuplicates(), "closure": pairs}, root, kg, date)
 
 
+def extend(raw: DataFrame, root: str, kg: str, date: str) -> None:
+    """The newest whole snapshot before ``date`` and the entities of further lines that it lacks, as the snapshot ``date``.
+
+    What is known stays, so lines that come again change nothing, and a run that failed can be run again.  Types, closure
+    and name index are those of a build from all lines, since one new class or a larger popularity may change any of them.
+    """
+    spark = raw.sparkSession
+    old = KnowledgeGraph(spark, root, kg, snapshots.newest(spark, root, kg, snapshots.LAST, date))
+    entities = written(dump.parsed(raw), "entities")
+    fresh = dump.without_known(entities, old.table("items").select(F.col("entity").alias("id")), "id")
+    type_edges = written(old.table("type_edges").unionByName(dump.type_edges(entities)).dropDuplicates(), "type_edges")
+    pairs = written(C.closure(type_edges.filter("property = 'P279'")), "closure")
+    plain = dump.items(fresh).dropDuplicates(["entity"])
+    every = old.table("items").select(*plain.columns).unionByName(plain)
+    items = written(dump.typed(every, pairs, C.class_set(pairs, *dump.PLACE), C.class_set(pairs, *dump.ORGANISATION)), "items")
+    both = {"edges": old.table("edges").unionByName(dump.edges(fresh)), "literals": old.table("literals").unionByName(dump.literals(fresh))}
+    _write({"items": items, "type_edges": type_edges, "closure": pairs} | both, root, kg, date)
+
+
 def build_companies(main: DataFrame, extra: DataFrame, root: str, kg: str, date: str) -> None:
     """A company list and its descriptions and ranks (``company_csv``) to a snapshot; of repeated permalinks one stays.
 

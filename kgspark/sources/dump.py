@@ -7,10 +7,15 @@ once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+import uuid
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark import schema
+from kgspark.plans.tables import shared_dir, written
 
 # Datatypes and their buckets, datatypes of claims, class ids of the public knowledge base.
 BUCKETS = {
@@ -28,6 +33,57 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def piped(spark: SparkSession, stream: Iterable[str], lot: int = 100_000) -> DataFrame:
+    """(value) of lines that come through a pipe: stored in lots in the shared folder, so that the driver holds one lot."""
+    path = f"{shared_dir(spark)}/kgspark/piped-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    rest = iter(stream)
+    spark.createDataFrame([], "value string").write.text(path)
+    while part := [(x.rstrip("\r\n"),) for x in itertools.islice(rest, lot)]:
+        spark.createDataFrame(part, "value string").write.mode("append").text(path)
+    return lines(spark, path)
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): lines with their number from 0, through the files in the order of their names.
+
+    A first scan counts the lines of each split.  That table has one row a split, so the running sum over it is small;
+    it is stored, so that its true size decides how it is joined.  The dump itself is not shuffled.
+    """
+    line = F.monotonically_increasing_id().alias("at")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    counted = lines(spark, path).select(*split, line).groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(counted.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("base")), "splits")
+    return lines(spark, path).select("value", *split, line).join(base, ["file", "start"]).select("value", (F.col("at") + F.col("base")).alias("line"))
+
+
+def skipped(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(value) without the first n lines."""
+    return numbered(spark, path).filter(F.col("line") >= n).select("value")
+
+
+def resumed(spark: SparkSession, path: str, entity: str) -> DataFrame:
+    """(value) from the line of an entity on, that line included; nothing if no line is that entity's."""
+    known = numbered(spark, path)
+    holds = F.get_json_object(F.regexp_replace(F.trim("value"), r",\s*$", ""), "$.id") == entity
+    first = known.filter(F.contains("value", F.lit(entity)) & holds).agg(F.min("line").alias("first"))  # one row
+    return known.join(F.broadcast(first), F.col("line") >= F.col("first")).select("value")
+
+
+def counters(raw: DataFrame) -> DataFrame:
+    """One row: lines, entities, lines in braces that hold no entity, edges, literals, mean length of an entity's line."""
+    line = F.regexp_replace(F.trim("value"), r",\s*$", "")
+    size = raw.select(F.length("value").alias("size"), (line.startswith("{") & line.endswith("}")).alias("braced"))
+    sizes = size.agg(F.count("*").alias("lines"), F.count_if("braced").alias("braced"), F.avg(F.when(F.col("braced"), F.col("size"))).alias("mean_size"))
+    entities = parsed(raw, prefix=None)
+    sums = entities.agg(F.count("*").alias("entities"))
+    for name, table in (("edges", edges(entities)), ("literals", literals(entities))):
+        sums = sums.join(table.agg(F.count("*").alias(name)), F.lit(True))  # one row each
+    return sizes.join(sums, F.lit(True)).select("lines", "entities", (F.col("braced") - F.col("entities")).alias("errors"), "edges", "literals", F.round("mean_size", 6).alias("mean_size"))
+
+
 def parsed(raw: DataFrame, prefix: str | None = "Q") -> DataFrame:
     """The objects of the lines (value): brackets, short, broken and other lines are left out; ids begin with ``prefix``."""
     line = F.regexp_replace(F.trim("value"), r",\s*$", "")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("items", "edges", "literals", "type_edges", "closure", "names", "postings", "vocabulary")
+#: The table that is written after all others.
+LAST = "vocabulary"
 
 
 def resolved(databases: DataFrame) -> DataFrame:
@@ -17,20 +19,29 @@ def resolved(databases: DataFrame) -> DataFrame:
     return parts.withColumn("date", date).filter("date IS NOT NULL").groupBy("kg").agg(F.max_by("name", F.struct("date", "name")).alias("name"), F.max("date").alias("date"))
 
 
+def index_name(name: Column) -> Column:
+    """A database's name without the digits at its end."""
+    return F.regexp_replace(name, r"\d+$", "")
+
+
 def write(tables: dict[str, DataFrame], root: str, kg: str, date: str) -> None:
     for name, df in tables.items():
         sort = {"postings": "term", "vocabulary": "term", "edges": "subject", "literals": "subject"}.get(name, df.columns[0])
         df.repartitionByRange(sort).sortWithinPartitions(sort).write.mode("overwrite").parquet(f"{root}/kg={kg}/snapshot={date}/{name}")
 
 
-def read(spark: SparkSession, root: str, kg: str, table: str, date: str | None = None) -> DataFrame:
-    """A table of a snapshot, the newest if no date is given; column statistics of the sorted files prune scans."""
-    if date:
-        return spark.read.parquet(f"{root}/kg={kg}/snapshot={date}/{table}")
+def newest(spark: SparkSession, root: str, kg: str, table: str, before: str | None = None) -> str:
+    """The date of the newest snapshot, of those before a date if one is given, that has a whole table of that name."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/kg={kg}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
     whole = [s for s in found if s.startswith("snapshot=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/kg={kg}/{s}/{table}/_SUCCESS"))]
+    whole = [s for s in whole if not before or s < f"snapshot={before}"]
     if not whole:
         raise ValueError(f"no snapshot of {kg} has {table}")
-    return spark.read.parquet(f"{root}/kg={kg}/{whole[-1]}/{table}")
+    return whole[-1].removeprefix("snapshot=")
+
+
+def read(spark: SparkSession, root: str, kg: str, table: str, date: str | None = None) -> DataFrame:
+    """A table of a snapshot, the newest if no date is given; column statistics of the sorted files prune scans."""
+    return spark.read.parquet(f"{root}/kg={kg}/snapshot={date or newest(spark, root, kg, table)}/{table}")

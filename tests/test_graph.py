@@ -175,3 +175,50 @@ def test_companies_as_a_snapshot(spark, tmp_path):
     found = graph.lookup(["acme works"]).collect()
     assert {r.id for r in found} == {"a", "b"} and max(found, key=lambda r: r.ed_score).id == "a"
     assert {(r.subject, r.predicate, r.value) for r in graph.table("literals").collect()} == {("a", "size", "5")}
+
+
+def test_lines_by_number(spark, tmp_path):
+    """Numbers follow the files' names and the lines in them, however the files are split."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    said = [json.dumps({"id": f"Q{k}", "labels": {"en": {"language": "en", "value": "x" * (k % 50)}}}) + "," for k in range(3000)]
+    for name, part in (("a", said[:10]), ("b", said[10:2500]), ("c", []), ("d", said[2500:])):
+        (folder / f"{name}.json").write_text("".join(x + "\n" for x in part), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = dump.numbered(spark, str(folder)).collect()
+        assert {r.line: r.value for r in found} == dict(enumerate(said)) and len(found) == 3000
+        assert sorted(r.value for r in dump.skipped(spark, str(folder), 2499).collect()) == sorted(said[2499:]) and dump.skipped(spark, str(folder), 9999).count() == 0
+        assert sorted(r.value for r in dump.resumed(spark, str(folder), "Q777").collect()) == sorted(said[777:]) and dump.resumed(spark, str(folder), "Q9999").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in dump.piped(spark, iter(["a\n", "b\r\n", "c"]), lot=2).orderBy("value").collect()] == ["a", "b", "c"] and dump.piped(spark, []).count() == 0
+
+
+def test_counters(spark):
+    raw = spark.createDataFrame([(x,) for x in dump_lines()], "value string")
+    counted = dump.counters(raw).first()
+    assert (counted.lines, counted.entities, counted.errors, counted.edges, counted.literals) == (11, 6, 0, 5, 5)
+    assert tuple(dump.counters(raw.filter("false")).first()) == (0, 0, 0, 0, 0, None)
+
+
+def test_extending_is_building_from_all_lines(spark, rows, built, tmp_path):
+    """Whatever comes first, and however often lines come again."""
+    raw = spark.createDataFrame([(x,) for x in dump_lines()], "value string")
+    engine.build(raw.filter("value NOT LIKE '%\"Q10\",%' OR value IS NULL"), str(tmp_path), "wikidata", "20240101")
+    for date in ("20240202", "20240303", "20240303"):
+        engine.extend(raw, str(tmp_path), "wikidata", date)
+    whole, grown = engine.KnowledgeGraph(spark, built), engine.KnowledgeGraph(spark, str(tmp_path))
+    for name in snapshots.TABLES:
+        texts = [sorted(r[0] for r in g.table(name).select(F.to_json(F.struct(*sorted(g.table(name).columns)))).collect()) for g in (whole, grown)]
+        assert texts[0] == texts[1], name
+    with pytest.raises(ValueError):
+        engine.extend(raw, str(tmp_path), "wikidata", "20230101")
+
+
+def test_build_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "dump.json").write_text("\n".join(x for x in dump_lines() if x is not None), encoding="utf-8")
+    cli.main(["--root", f"{tmp_path}/kg", "build", f"{tmp_path}/dump.json", "20240101", "--resume-from", "Q3"])
+    assert sorted(r.entity for r in engine.KnowledgeGraph(spark, f"{tmp_path}/kg").table("items").collect()) == ["Q3", "Q4", "Q5"]
+    cli.main(["--root", f"{tmp_path}/kg", "build", f"{tmp_path}/dump.json", "20240102", "--add", "--skip-lines", "2"])
+    assert sorted(r.entity for r in engine.KnowledgeGraph(spark, f"{tmp_path}/kg").table("items").collect()) == ["Q10", "Q3", "Q4", "Q5"]
