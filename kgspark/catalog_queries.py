@@ -520,11 +520,48 @@ def column_analysis(spark, d):
     return classify.columns(cells).withColumn("probability", F.round("probability", 9))
 
 
-@query()
+_MENTION = classify.CAPITALISED.replace("'", "''")
+# Mentions and what stands before each, whose lengths add up to offsets.
+_MENTIONS_SQL = """WITH RECURSIVE m AS (SELECT id, regexp_extract_all(text, '{0}') AS ms, string_split_regex(text, '{0}') AS ps FROM ({1})),
+u AS (SELECT id, unnest(ms) AS mention, unnest(ps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+found AS (SELECT id AS text_id, mention, CAST(sum(length(gap) + length(mention)) OVER (PARTITION BY id ORDER BY i) AS INTEGER) AS "end" FROM u)"""
+
+
+@query(_MENTIONS_SQL.format(_MENTION, "SELECT doc_id AS id, text FROM documents") + """ SELECT text_id, mention, 'OTHER' AS label, CAST("end" - length(mention) AS INTEGER) AS start, "end" FROM found""")
 def entity_recognition(spark, d):
     return classify.recognise(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
+_KNOWN_SQL = "known AS (SELECT lower(name) AS key, CASE arg_max(ner_type, popularity) WHEN 'PERS' THEN 'PERSON' WHEN 'ORG' THEN 'ORGANIZATION' WHEN 'LOC' THEN 'LOCATION' ELSE 'OTHER' END AS label FROM names GROUP BY 1)"
+
+
+@query(
+    _MENTIONS_SQL.format(_MENTION, "SELECT n_nationkey AS id, 'Goods of ' || r_name || ' pass ' || r_name || ', then Port ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+    + ", " + ", ".join(demo.SQL[x] for x in ("items", "names")) + f""", {_KNOWN_SQL} SELECT text_id, mention, coalesce(label, 'OTHER') AS label, CAST("end" - length(mention) AS INTEGER) AS start, "end" FROM found LEFT JOIN known ON key = lower(mention)"""
+)
+def entity_recognition_known(spark, d):
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    texts = both.select(F.col("n_nationkey").cast("long").alias("text_id"), F.concat(F.lit("Goods of "), "r_name", F.lit(" pass "), "r_name", F.lit(", then Port "), "n_name").alias("text"))
+    return classify.recognise_known(texts, classify.gazetteer(names.names(demo.items(spark, d))))
+
+
+_NAMED = "SELECT 'customer' AS col_id, c_name AS value FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'part', p_name FROM part UNION ALL SELECT 'segment', c_mktsegment FROM customer"
+
+
+@query(
+    with_("items", "names")
+    + f""", {_KNOWN_SQL}, cells AS ({_NAMED}), n AS (SELECT col_id, coalesce(label, 'STRING') AS vote, count(*) AS n FROM cells LEFT JOIN known ON key = lower(value) GROUP BY 1, 2)
+SELECT 'all' AS table_id, col_id, arg_max(vote, n) AS classification, CASE WHEN arg_max(vote, n) = 'STRING' THEN 'LIT' ELSE 'NE' END AS tag, arg_max(vote, n) AS datatype, round(max(n) / sum(n), 9) AS probability FROM n GROUP BY col_id"""
+)
+def column_entities(spark, d):
+    """Columns of names of known entities."""
+    cells = None
+    for col_id, name, column in (("customer", "customer", "c_name"), ("supplier", "supplier", "s_name"), ("nation", "nation", "n_name"), ("part", "part", "p_name"), ("segment", "customer", "c_mktsegment")):
+        one = table(spark, d, name).select(F.lit("all").alias("table_id"), F.lit(col_id).alias("col_id"), F.col(column).alias("value"))
+        cells = one if cells is None else cells.union(one)
+    return classify.columns(cells, classify.gazetteer(names.names(demo.items(spark, d)))).withColumn("probability", F.round("probability", 9))
+
+
 # Loading
 
 

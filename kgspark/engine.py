@@ -135,7 +135,10 @@ class KnowledgeGraph:
     def classify_columns(self, tables: list[list[list[str]]]) -> DataFrame:
         """Tables as lists of columns, columns as lists of cells."""
         cells = [(f"table_{t}", c, v) for t, columns in enumerate(tables, 1) for c, column in enumerate(columns) for v in column or [None]]
-        return classify.columns(self.spark.createDataFrame(cells, "table_id string, col_id int, value string"))
+        return classify.columns(self.spark.createDataFrame(cells, "table_id string, col_id int, value string"), self._known())
 
     def recognize_entities(self, texts: Iterable[str], model=classify.capitalised) -> DataFrame:
-        return classify.recognise(self.spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), model)
+        return classify.recognise_known(self.spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), self._known(), model)
+
+    def _known(self) -> DataFrame:
+        return classify.gazetteer(self.table("names"))

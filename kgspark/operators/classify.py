@@ -12,6 +12,8 @@ from kgspark.functions import literals as L
 from kgspark.plans.tables import shipped
 
 LITERAL_KINDS, ENTITY_KINDS = ("NUMBER", "DATE", "STRING"), ("PERSON", "ORGANIZATION", "LOCATION", "OTHER")
+VOTES = (*LITERAL_KINDS, *ENTITY_KINDS)
+LABELS = {"PERS": "PERSON", "ORG": "ORGANIZATION", "LOC": "LOCATION"}
 
 
 def literals(tokens: DataFrame) -> DataFrame:
@@ -21,16 +23,22 @@ def literals(tokens: DataFrame) -> DataFrame:
     return named.select("literal", "datatype", L.described(d, 0).alias("classification"), L.described(d, 1).alias("tag"), L.described(d, 2).alias("xml_datatype"))
 
 
-def columns(cells: DataFrame) -> DataFrame:
+def columns(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(table_id, col_id, classification, tag, datatype, probability): the class that most cells of a column have.
 
-    Cells vote NUMBER, DATE or STRING by their literal class; ties go to the first in that order.  Empty and null cells
-    do not vote; a column without votes is UNKNOWN with probability 0.
+    Cells vote NUMBER, DATE or STRING by their literal class, and strings that are names of a ``gazetteer`` (``known``)
+    for its label; ties go to the first of ``VOTES``.  Empty and null cells do not vote; a column without votes is
+    UNKNOWN with probability 0.  Equal cells of a column are counted before they are classified.
     """
+    same = cells.groupBy("table_id", "col_id", "value").agg(F.count("*").alias("n"))
     group = L.described(L.literal_class(F.col("value")), 0)
     vote = F.when(F.length(F.trim(F.coalesce("value", F.lit("")))) == 0, None).otherwise(F.when(group == "DATETIME", "DATE").otherwise(group))
-    counted = cells.select("table_id", "col_id", vote.alias("vote")).groupBy("table_id", "col_id", "vote").agg(F.count("*").alias("n"))
-    order = F.when(F.col("vote") == "NUMBER", 0).when(F.col("vote") == "DATE", -1).otherwise(-2)
+    voted = same.select("table_id", "col_id", "value", "n", vote.alias("vote"))
+    if known is not None:
+        key = F.when(F.col("vote") == "STRING", F.lower(F.trim("value"))).alias("key")
+        voted = voted.withColumn("key", key).join(known.select("key", "label"), "key", "left").withColumn("vote", F.coalesce("label", "vote"))
+    counted = voted.groupBy("table_id", "col_id", "vote").agg(F.sum("n").alias("n"))
+    order = -F.array_position(F.array(*[F.lit(x) for x in VOTES]), F.col("vote"))
     best = counted.groupBy("table_id", "col_id").agg(
         F.max(F.when(F.col("vote").isNotNull(), F.struct("n", order.alias("order"), "vote"))).alias("best"), F.sum(F.when(F.col("vote").isNotNull(), F.col("n")).otherwise(0)).alias("votes")
     )
@@ -69,3 +77,17 @@ def recognise(texts: DataFrame, model: Callable[[str], Iterable[tuple[str, str,
                     yield pa.RecordBatch.from_arrays([pa.array([text_id] * len(found), pa.int64()), pa.array(mention, pa.string()), pa.array(label, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["text_id", "mention", "label", "start", "end"])
 
     return shipped(texts.select(F.col("text_id").cast("long").alias("text_id"), "text")).mapInArrow(run, "text_id long, mention string, label string, start int, end int")
+
+
+def gazetteer(named: DataFrame) -> DataFrame:
+    """(key, label) of a name index: what a lower-case name stands for, by the most popular entity that has it; of equals one with a class."""
+    label = F.lit("OTHER")
+    for ner_type, said in LABELS.items():
+        label = F.when(F.col("ner_type") == ner_type, said).otherwise(label)
+    return named.select(F.lower("name").alias("key"), label.alias("label"), "popularity").groupBy("key").agg(F.max_by("label", F.struct("popularity", F.col("label") != "OTHER", "label")).alias("label"))
+
+
+def recognise_known(texts: DataFrame, known: DataFrame, model: Callable[[str], Iterable[tuple[str, str, int, int]]] = capitalised) -> DataFrame:
+    """As ``recognise``, where a mention that is a name of a ``gazetteer`` has its label."""
+    found = recognise(texts, model).withColumnRenamed("label", "told").withColumn("key", F.lower("mention"))
+    return found.join(known.select("key", "label"), "key", "left").select("text_id", "mention", F.coalesce("label", "told").alias("label"), "start", "end")
