@@ -93,7 +93,7 @@ def test_engine(spark, rows, built):
     assert rows(g.classify_literals(["12", "12", "x"]).select("literal", "datatype")) == [("12", "INTEGER"), ("x", "STRING")]
     assert [tuple(r)[2:5] for r in g.classify_columns([[["1", "2", "x"], [""], ["2020-01-02"]]]).orderBy("col_id").collect()] == [("NUMBER", "LIT", "NUMBER"), ("UNKNOWN", "UNKNOWN", "UNKNOWN"), ("DATE", "LIT", "DATE")]
     assert rows(g.recognize_entities(["go to New York, Bob", ""])) == [(0, "Bob", "OTHER", 16, 19), (0, "New York", "OTHER", 6, 14)]
-    assert rows(g.recognize_entities(["From Paris to Port", None])) == [(0, "From", "OTHER", 0, 4), (0, "Paris", "LOCATION", 5, 10), (0, "Port", "OTHER", 14, 18)]
+    assert rows(g.recognize_entities(["from Paris to Port", None])) == [(0, "Paris", "LOCATION", 5, 10), (0, "Port", "OTHER", 14, 18)]
     columns = [[["paris ", "Parigi", "John Ronald Tolkien"], ["7", "7", "Paris"], ["no", "Paris"]]]
     assert [(r.classification, r.tag, round(r.probability, 3)) for r in g.classify_columns(columns).orderBy("col_id").collect()] == [("LOCATION", "NE", 0.667), ("NUMBER", "LIT", 0.667), ("STRING", "LIT", 0.5)]
     with pytest.raises(ValueError):
