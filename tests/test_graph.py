@@ -225,3 +225,40 @@ def test_build_from_the_command_line(spark, tmp_path, capsys):
     assert sorted(r.entity for r in engine.KnowledgeGraph(spark, f"{tmp_path}/kg").table("items").collect()) == ["Q3", "Q4", "Q5"]
     cli.main(["--root", f"{tmp_path}/kg", "build", f"{tmp_path}/dump.json", "20240102", "--add", "--skip-lines", "2"])
     assert sorted(r.entity for r in engine.KnowledgeGraph(spark, f"{tmp_path}/kg").table("items").collect()) == ["Q10", "Q3", "Q4", "Q5"]
+
+
+def test_closure_takes_few_rounds(spark, rows, monkeypatch):
+    """A chain of 40 edges, a cycle and a diamond with a short cut: least depths, in as many tables as a number of 6 bits needs."""
+    edges = [(f"n{k:02}", f"n{k + 1:02}") for k in range(40)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "n38"), ("p", "q"), ("p", "r"), ("q", "s"), ("r", "s"), ("s", "t"), ("t", "u"), ("p", "t")]
+    above = {x: {y for c, y in edges if c == x} for x, _ in edges}
+    expected = []
+    for x in above:
+        seen, last, depth = {}, {x}, 0
+        while last:
+            depth, last = depth + 1, {z for y in last for z in above.get(y, ())} - set(seen)
+            seen |= dict.fromkeys(last, depth)
+        expected += [(x, y, k) for y, k in seen.items()]
+    made = []
+    monkeypatch.setattr(C, "written", lambda df, name, f=C.written: made.append(name) or f(df, name))
+    table = spark.createDataFrame(edges, "child string, parent string")
+    assert rows(C.closure(table)) == sorted(expected, key=repr) and len(made) <= 8
+    for rounds, ends in ((40, False), (41, True)):
+        if ends:
+            assert C.closure(table, max_rounds=rounds).count() == len(expected)
+        else:
+            with pytest.raises(RuntimeError):
+                C.closure(table, max_rounds=rounds)
+
+
+def test_classes_of_items_are_not_shuffled_one_by_one(spark, rows):
+    """Instances with classes that share ancestors, that have none or are null; each class once."""
+    hierarchy = spark.createDataFrame([("A", "B"), ("B", "C"), ("D", "B")], "child string, parent string")
+    pairs = C.closure(hierarchy)
+    instances = spark.createDataFrame([("x", "A"), ("x", "D"), ("x", "A"), ("y", "Z"), ("z", None), ("B", "A")], "child string, parent string")
+    found = C.of_instances(instances, hierarchy, pairs)
+    assert rows(found) == sorted([("x", c) for c in "ABCD"] + [("y", "Z"), ("z", None), ("A", "B"), ("A", "C"), ("D", "B"), ("D", "C"), ("B", "A"), ("B", "B"), ("B", "C")], key=repr)
+    types = C.extended_types(instances.toDF("entity", "type"), pairs)
+    assert rows(types) == sorted([("x", c) for c in "ABCD"] + [("y", "Z"), ("z", None), ("B", "A"), ("B", "B"), ("B", "C")], key=repr)
+    for table in (found, types):
+        dealt = [x for x in table._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+        assert dealt and not any(f"{table.columns[1]}#" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
