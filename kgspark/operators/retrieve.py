@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.plans.tables import dealt
 
 PREFIXES = {"wikidata": "https://www.wikidata.org/wiki/", "dbpedia": "http://dbpedia.org/resource/"}
 
@@ -67,7 +68,7 @@ def sameas_lists(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 def summary_table(table: DataFrame) -> DataFrame:
     """(entity, predicate, count) of edges or literals."""
-    return table.groupBy(F.col("subject").alias("entity"), "predicate").agg(F.count("*").alias("count"))
+    return dealt(table.select(F.col("subject").alias("entity"), "predicate"), "entity").groupBy("entity", "predicate").agg(F.count("*").alias("count"))
 
 
 def summary(counts: DataFrame, entities: list[str] | None = None, rank_order: str = "desc", k: int = 10) -> DataFrame:

@@ -32,6 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input files whose rows one task groups.
+GROUPED_AT_ONCE = 8 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Before rows are grouped by ``keys`` or more: so many parts that a task's share does not grow with the input files.
+
+    Grouping needs no further shuffle then.  Where the session's number of shuffle partitions is enough, nothing is done.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    parts = -(-sum(x for x in sizes if x < 1 << 60) // GROUPED_AT_ONCE)  # larger ones stand for an unknown size
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """Sends this package to the Python workers once a session, so that they need not have it installed."""
     context = df.sparkSession.sparkContext

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.plans.tables import dealt
+
 PART, CUSTOMER, SUPPLIER, NATION, ORDER, REGION = range(1, 7)
 
 
@@ -30,18 +32,18 @@ def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey").distinct()
     return line.select(qid(ORDER, "l_orderkey").alias("child"), qid(PART, "l_partkey").alias("parent"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     one = lambda df, a, b, p: df.select(a.alias("subject"), F.lit(p).alias("predicate"), b.alias("object"))
-    line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    line = lambda other: dealt(t("lineitem").select("l_orderkey", other), "l_orderkey").distinct()
     parts = [
         one(t("customer"), qid(CUSTOMER, "c_custkey"), qid(NATION, "c_nationkey"), "P1"), one(t("supplier"), qid(SUPPLIER, "s_suppkey"), qid(NATION, "s_nationkey"), "P1"),
         one(t("nation"), qid(NATION, "n_nationkey"), qid(REGION, "n_regionkey"), "P2"), one(t("orders"), qid(ORDER, "o_orderkey"), qid(CUSTOMER, "o_custkey"), "P3"),
-        one(line.select("l_orderkey", "l_partkey").distinct(), qid(ORDER, "l_orderkey"), qid(PART, "l_partkey"), "P4"), one(line.select("l_orderkey", "l_suppkey").distinct(), qid(ORDER, "l_orderkey"), qid(SUPPLIER, "l_suppkey"), "P5"),
+        one(line("l_partkey"), qid(ORDER, "l_orderkey"), qid(PART, "l_partkey"), "P4"), one(line("l_suppkey"), qid(ORDER, "l_orderkey"), qid(SUPPLIER, "l_suppkey"), "P5"),
     ]
     out = parts[0]
     for p in parts[1:]:

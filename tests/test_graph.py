@@ -262,3 +262,20 @@ def test_classes_of_items_are_not_shuffled_one_by_one(spark, rows):
     for table in (found, types):
         dealt = [x for x in table._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
         assert dealt and not any(f"{table.columns[1]}#" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
+
+
+@pytest.mark.parametrize("name", ["summary_objects_asc", "summary_objects_desc", "kg_recognise"])
+def test_groups_of_a_task_do_not_grow_with_the_input(spark, rows, monkeypatch, name):
+    """However few shuffle partitions a session has, grouped rows are dealt by the size of the files, and nothing deals them anew."""
+    import re
+
+    from kgspark import catalog_queries
+    from kgspark.plans import tables
+
+    monkeypatch.setattr(tables, "GROUPED_AT_ONCE", 1 << 40)
+    expected = rows(catalog_queries.queries()[name](spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(tables, "GROUPED_AT_ONCE", 1 << 13)
+    found = catalog_queries.queries()[name](spark, "/root/testdata/sf0.001")
+    dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", found._jdf.queryExecution().executedPlan().toString())
+    assert len(dealt) >= 3 and all(int(n) > 8 and how == "REPARTITION_BY_NUM" for n, how in dealt)
+    assert rows(found) == expected
