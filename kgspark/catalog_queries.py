@@ -172,8 +172,8 @@ def predicates_pairs(spark, d):
 
 @query(with_("edges") + " SELECT entity, CASE WHEN regexp_matches(entity, '^[QP][0-9]+$') THEN 'wikidata' ELSE 'dbpedia' END AS kg FROM (SELECT subject AS entity FROM edges UNION SELECT n_name FROM nation)")
 def kg_recognise(spark, d):
-    every = entities(demo.edges(spark, d), "subject").union(table(spark, d, "nation").select("n_name")).distinct()
-    return every.select("entity", T.knowledge_graph(F.col("entity")).alias("kg"))
+    every = demo.edges(spark, d).select(F.col("subject").alias("entity")).union(table(spark, d, "nation").select("n_name"))
+    return tables.dealt(every, "entity").distinct().select("entity", T.knowledge_graph(F.col("entity")).alias("kg"))
 
 
 _LABELS = " SELECT entity, 'https://www.wikidata.org/wiki/' || entity AS url, kind, ner_type, {} AS label, {} AS aliases FROM items WHERE {}"
