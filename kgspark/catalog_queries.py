@@ -600,10 +600,13 @@ def _dump(spark: SparkSession, d: str) -> DataFrame:
     site = lambda title: F.create_map(F.lit("enwiki"), F.struct(F.lit("enwiki").alias("site"), title.alias("title")))
     none = F.create_map().cast("map<string,struct<site:string,title:string>>")
     amount = lambda v: F.to_json(F.struct(v.alias("amount")))
-    c = line(table(spark, d, "customer"), demo.qid(demo.CUSTOMER, "c_custkey"), F.col("c_name"), F.create_map(F.lit("P31"), F.array(claim("P31", "wikibase-item", target(demo.qid(demo.NATION, "c_nationkey")))), F.lit("P10"), F.array(claim("P10", "quantity", amount(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))))), none)
-    p = line(table(spark, d, "part"), demo.qid(demo.PART, "p_partkey"), F.col("p_name"), F.create_map(F.lit("P279"), F.array(claim("P279", "wikibase-item", target(demo.qid(demo.PART, F.expr("p_partkey div 2")))))), site(F.col("p_name")))
+    # A small file is one task's, whatever its rows cost: they are dealt before lines are made of them.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    c = line(table(spark, d, "customer").repartition(parts, "c_custkey"), demo.qid(demo.CUSTOMER, "c_custkey"), F.col("c_name"), F.create_map(F.lit("P31"), F.array(claim("P31", "wikibase-item", target(demo.qid(demo.NATION, "c_nationkey")))), F.lit("P10"), F.array(claim("P10", "quantity", amount(F.col("c_acctbal").cast("decimal(18,2)").cast("string"))))), none)
+    p = line(table(spark, d, "part").repartition(parts, "p_partkey"), demo.qid(demo.PART, "p_partkey"), F.col("p_name"), F.create_map(F.lit("P279"), F.array(claim("P279", "wikibase-item", target(demo.qid(demo.PART, F.expr("p_partkey div 2")))))), site(F.col("p_name")))
     brackets = spark.createDataFrame([("[",), ("]",), ("{broken,",)], "value string")
-    text = c.union(p).select(F.replace(F.regexp_replace("value", r'"value":"(\{.*?\})"', '"value":$1'), F.lit('\\"'), F.lit('"')).alias("value"))
+    # By a generator, so that conditions on lines are not drawn below the dealing, where each would make the lines again.
+    text = c.union(p).select(F.explode(F.array(F.replace(F.regexp_replace("value", r'"value":"(\{.*?\})"', '"value":$1'), F.lit('\\"'), F.lit('"')))).alias("value"))
     return dump.parsed(brackets.union(text))
 
 

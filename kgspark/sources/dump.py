@@ -88,7 +88,8 @@ def parsed(raw: DataFrame, prefix: str | None = "Q") -> DataFrame:
     """The objects of the lines (value): brackets, short, broken and other lines are left out; ids begin with ``prefix``."""
     line = F.regexp_replace(F.trim("value"), r",\s*$", "")
     kept = raw.select(line.alias("line")).filter((F.length("line") >= 10) & F.col("line").startswith("{") & F.col("line").endswith("}"))
-    entity = kept.select(F.from_json("line", schema.DUMP).alias("e")).select("e.*").filter(F.col("id").isNotNull())
+    # Conditions on columns are not drawn below a generator; below a projection each of them would parse the line again.
+    entity = kept.select(F.inline(F.array(F.from_json("line", schema.DUMP)))).filter(F.col("id").isNotNull())
     return entity.filter(F.col("id").startswith(prefix)) if prefix else entity
 
 

@@ -279,3 +279,18 @@ def test_groups_of_a_task_do_not_grow_with_the_input(spark, rows, monkeypatch, n
     dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", found._jdf.queryExecution().executedPlan().toString())
     assert len(dealt) >= 3 and all(int(n) > 8 and how == "REPARTITION_BY_NUM" for n, how in dealt)
     assert rows(found) == expected
+
+
+@pytest.mark.parametrize("name", ["dump_literals", "dump_items", "dump_edges", "dump_type_edges"])
+def test_lines_of_a_small_file_are_made_by_all_tasks(spark, name):
+    """Tables of one row group each: their lines are made and parsed in more tasks than one a table."""
+    from kgspark import catalog_queries
+
+    found = catalog_queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 8
+
+
+def test_a_line_is_parsed_once(spark):
+    raw = spark.createDataFrame([(x,) for x in dump_lines()], "value string")
+    for table in (dump.literals(dump.parsed(raw)), dump.items(dump.parsed(raw))):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
