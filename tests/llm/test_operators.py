@@ -244,6 +244,22 @@ def test_tree_leaves_most_unread():
     assert hits >= 900 and shard.leaves / (100 * leaves) < 0.2 and shard.verified / (100 * len(x)) < 0.05
 
 
+def test_search_takes_few_steps(monkeypatch):
+    """Where most leaves must be read, a query verifies them in a few steps on arrays, not leaf by leaf."""
+    x = np.random.default_rng(9).standard_normal((2_048, 64))
+    order, made = ann._index(None)(x)
+    shard = ann.Shard({"vector": x[order], "vec_id": order, "row": order} | {c: y.tobytes() for c, y in made.items()})
+    steps, lengths = [], ann._lengths
+    monkeypatch.setattr(ann, "_lengths", lambda d: steps.append(len(d)) or lengths(d))
+    hits = 0
+    for q in range(0, 2_048, 64):
+        places, _ = ann.neighbours(shard, x[q], q, math.nan, 10)
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(shard.ids[places]) & set(np.argsort(d)[:10]))
+    assert hits >= 0.9 * 320 and len(steps) <= 10 * 32
+
+
 @pytest.mark.parametrize("least", [2048, 64])
 def test_products(spark, vectors, monkeypatch, least):
     monkeypatch.setattr("kgspark.llm.vectors.SHARD_LEAST", least)
