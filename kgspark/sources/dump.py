@@ -24,6 +24,7 @@ BUCKETS = {
 }
 TO_ENTITY, SKIPPED = ("wikibase-item", "wikibase-property"), ("wikibase-lexeme", "wikibase-form", "wikibase-sense", "entity-schema")
 DISAMBIGUATION, HUMAN = "Q4167410", "Q5"
+NER = ("LOC", "ORG", "OTHERS", "PERS")
 ORGANISATION = ("Q43229", ["Q6256", "Q515", "Q5119", "Q15916867", "Q17350442", "Q623109", "Q8436"])
 PLACE = ("Q2221906", ["Q2095", "Q2385804", "Q327333", "Q484652", "Q12143"])
 
@@ -149,13 +150,15 @@ def literals(entities: DataFrame) -> DataFrame:
 def ner_types(explicit: DataFrame, places: DataFrame, organisations: DataFrame, human: str = HUMAN) -> DataFrame:
     """(entity, ner_types): categories of the explicit types, each once, in the order in which they first occur.
 
-    ``explicit``: (entity, pos, type); ``places``, ``organisations``: (entity) sets of classes.
+    ``explicit``: (entity, pos, type), rows may repeat; ``places``, ``organisations``: (entity) sets of classes.
     """
     marks = places.select(F.col("entity").alias("type"), F.lit("LOC").alias("ner")).unionByName(organisations.select(F.col("entity").alias("type"), F.lit("ORG").alias("ner")))
     by_type = marks.groupBy("type").agg(F.min("ner").alias("ner"))  # a class in both sets is a place
     named = explicit.join(by_type, "type", "left").withColumn("ner", F.when(F.col("type") == human, "PERS").otherwise(F.coalesce("ner", F.lit("OTHERS"))))
-    ordered = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ner"))), lambda x: x["ner"]))
-    return named.groupBy("entity").agg(ordered.alias("ner_types"))
+    # Where each category first occurs is all that is kept of an entity while rows are grouped.
+    firsts = named.groupBy("entity").agg(*[F.min(F.when(F.col("ner") == x, F.coalesce(F.col("pos").cast("long"), F.lit(-(2**63))))).alias(x) for x in NER])
+    ordered = F.sort_array(F.filter(F.array(*[F.struct(F.col(x).alias("pos"), F.lit(x).alias("ner")) for x in NER]), lambda x: x["pos"].isNotNull()))
+    return firsts.select("entity", F.transform(ordered, lambda x: x["ner"]).alias("ner_types"))
 
 
 def typed(rows: DataFrame, closure_pairs: DataFrame, places: DataFrame, organisations: DataFrame) -> DataFrame:

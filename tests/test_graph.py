@@ -27,6 +27,18 @@ def test_closure(spark, rows, tmp_path):
     assert edges_tsv.read(spark, f"{tmp_path}/edges").count() == 5
 
 
+def test_class_sets_from_roots(spark, rows):
+    """Pairs below some roots without the whole closure; categories of an entity by where each first occurs, not by lists."""
+    edges = spark.createDataFrame(EDGES, "child string, parent string")
+    whole = C.closure(edges)
+    assert rows(C.under(edges, ["D", "B", "E"])) == rows(whole.filter("superclass IN ('D', 'B', 'E')"))
+    explicit = spark.createDataFrame([("Q1", 2, "A"), ("Q1", 0, "X"), ("Q1", 2, "A"), ("Q1", 1, "H"), ("Q1", 3, "D"), ("Q2", 0, "A"), ("Q2", 0, "H"), ("Q3", None, "D"), ("Q3", 0, "A")], "entity string, pos int, type string")
+    one = lambda *x: spark.createDataFrame([(y,) for y in x], "entity string")
+    found = dump.ner_types(explicit, one("A"), one("A", "D"), human="H")
+    assert rows(found) == [("Q1", ["OTHERS", "PERS", "LOC", "ORG"]), ("Q2", ["LOC", "PERS"]), ("Q3", ["ORG", "LOC"])]
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def claim(p, kind, value):
     return {"mainsnak": {"property": p, "datatype": kind, "datavalue": {"value": value}}}
 
