@@ -356,7 +356,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> lookup.Index:
-    items = demo.items(spark, d)
+    items = tables.written(demo.items(spark, d), "items")
     return lookup.stored(lookup.index(names.names(items), items))
 
 

@@ -1,8 +1,8 @@
 """Entity lookup for a batch of mentions: one lazy plan from mentions to feature rows.
 
-Scores are BM25 (k1 1.2, b 0.75, statistics of the whole index).  A mention's words meet the postings in a join on the
-term; scores are summed by (mention, name) and the best ``limit`` names of each mention are kept.  Ties go to the more
-popular name, then by entity, name and kind of name, on scores rounded to nine digits, so that ranks do not hang on the order of
+Scores are BM25 (k1 1.2, b 0.75, statistics of the whole index).  The postings of the mentions' words are dealt by name and
+meet the mentions there; scores are summed by (mention, name), and the best ``limit`` names of each mention are kept, in
+each task and then of all, so that the pairs themselves are not shuffled.  Ties go to the more popular name, then by entity, name and kind of name, on scores rounded to nine digits, so that ranks do not hang on the order of
 summation.
 """
 
@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.operators import names as N
-from kgspark.plans.tables import written
+from kgspark.plans.tables import shares, written
 
 K1, B = 1.2, 0.75
 # Boosts and penalties of clauses.
 EXACT_BOOST, NER_BOOST, TYPE_BOOST, EXTENDED_BOOST = 2.0, 2.0, 1.5, 1.2
 TYPE_PENALTY, EXTENDED_PENALTY = 0.1, 0.2
+# Bytes of the postings' files whose names one task ranks: more where there are tasks enough, so that few of the best are sent.
+PAIRED_AT_ONCE, PAIRED_AT_LEAST = 2 << 20, 128 << 10
 
 
 @dataclass
@@ -104,41 +106,48 @@ def hits(cleaned: DataFrame, ix: Index, limit: int, fuzzy: bool = False, filters
         terms = terms.join(near, "token").select("mention_id", "term", (F.col("times") * (1 - F.col("distance") / F.greatest(F.length("token"), F.length("term")))).alias("times"))
     else:
         terms = terms.withColumnRenamed("token", "term")
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    known = terms.join(ix.vocabulary.select("term", "df"), "term").join(ix.postings, "term").join(F.broadcast(ix.stats), F.lit(True))  # statistics: one row
-    scored = known.groupBy("mention_id", "doc_id").agg(F.sum(F.col("times") * weight * (1.0 if fuzzy else EXACT_BOOST)).alias("bm25"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = terms.join(ix.vocabulary.select("term", "df"), "term").join(F.broadcast(ix.stats), F.lit(True))  # statistics: one row
+    asked = written(known.select("mention_id", "term", "times", idf.alias("idf"), "avg_len"), "terms")
+    # Postings of the asked terms go to the tasks of their names once; pairs of mention and name are made, summed and ranked there.
+    posted = ix.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    parts = max(shares(ix.postings, PAIRED_AT_ONCE), min(shares(ix.postings, PAIRED_AT_LEAST), cleaned.sparkSession.sparkContext.defaultParallelism))
+    named = weighed(ix.names, filters, where).select("doc_id", "popularity", "boost", "penalty").repartition(parts, "doc_id")
+    pairs = posted.repartition(parts, "doc_id").join(named, "doc_id").join(asked, "term")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    summed = pairs.groupBy("doc_id", "mention_id", "popularity", "boost", "penalty").agg(F.sum(F.col("times") * weight * (1.0 if fuzzy else EXACT_BOOST)).alias("bm25"))
     of = Window.partitionBy("mention_id")
-    if filters == Filters() and not where:
-        # Nothing but the score decides: only names that can be among the best, ties included, meet the wide table.
-        scored = scored.withColumn("place", F.rank().over(of.orderBy(F.round("bm25", 9).desc()))).filter(F.col("place") <= limit).drop("place")
-    rows = filtered(scored.join(ix.names, "doc_id"), filters, where).withColumn("score", F.round("score", 9))
+    scored = summed.select("mention_id", "doc_id", "popularity", "bm25", F.round((F.col("bm25") + F.col("boost")) * F.col("penalty"), 9).alias("score"))
+    # Only names that can be among the best, ties included, meet the wide table.
+    placed = scored.withColumn("place", F.rank().over(of.orderBy(F.desc("score"), F.desc("popularity")))).filter(F.col("place") <= limit)
+    rows = written(placed.select("mention_id", "doc_id", "bm25", "score"), "hits").join(ix.names, "doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), F.desc("popularity"), "entity", "name", "is_alias"))).filter(F.col("rank") <= limit)
     pos, es = F.col("rank") / F.count("*").over(of), F.col("score") / F.max("score").over(of)
     return ranked.withColumns({"pos_score": pos, "es_score": es if normalize else F.col("score"), "popularity_out": F.col("popularity_norm") if normalize else F.col("popularity").cast("double")})
 
 
-def filtered(rows: DataFrame, f: Filters, where: str | None = None) -> DataFrame:
-    """Adds ``score``: hard filters drop rows; soft ones add to the score of matches and shrink that of the others."""
-    score, penalty = F.col("bm25"), F.lit(1.0)
+def weighed(named: DataFrame, f: Filters, where: str | None = None) -> DataFrame:
+    """Names with ``boost`` and ``penalty``: hard filters drop names; soft ones add to the score of matches and shrink that of the others."""
+    boost, penalty = F.lit(0.0), F.lit(1.0)
     if where:
-        return rows.filter(F.expr(where)).withColumn("score", score)
+        return named.filter(F.expr(where)).withColumns({"boost": boost, "penalty": penalty})
     if f.kind:
-        rows = rows.filter(F.col("kind") == f.kind)
+        named = named.filter(F.col("kind") == f.kind)
     if f.language:
-        rows = rows.filter(F.array_contains("languages", f.language))
+        named = named.filter(F.array_contains("languages", f.language))
     if f.ner_types:
         match = F.coalesce(F.col("ner_type").isin(f.ner_types), F.lit(False))
-        rows, score = (rows, score + F.when(match, NER_BOOST).otherwise(0.0)) if f.soft else (rows.filter(match), score)
-    for column, wanted, boost, shrink in (("explicit_types", f.types, TYPE_BOOST, TYPE_PENALTY), ("extended_types", f.extended_types, EXTENDED_BOOST, EXTENDED_PENALTY)):
+        named, boost = (named, boost + F.when(match, NER_BOOST).otherwise(0.0)) if f.soft else (named.filter(match), boost)
+    for column, wanted, each_boost, shrink in (("explicit_types", f.types, TYPE_BOOST, TYPE_PENALTY), ("extended_types", f.extended_types, EXTENDED_BOOST, EXTENDED_PENALTY)):
         if not wanted:
             continue
         match = F.arrays_overlap(F.col(column), F.array(*[F.lit(x) for x in wanted]))
         if f.soft:
-            each = sum((F.when(F.array_contains(column, x), boost).otherwise(0.0) for x in wanted), F.lit(0.0))
-            score, penalty = score + each, penalty * F.when(match, 1.0).otherwise(shrink)
+            each = sum((F.when(F.array_contains(column, x), each_boost).otherwise(0.0) for x in wanted), F.lit(0.0))
+            boost, penalty = boost + each, penalty * F.when(match, 1.0).otherwise(shrink)
         else:
-            rows = rows.filter(match)
-    return rows.withColumn("score", score * penalty)
+            named = named.filter(match)
+    return named.withColumns({"boost": boost, "penalty": penalty})
 
 
 def ambiguity(cleaned: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -25,47 +25,68 @@ def not_indexed(items: DataFrame, names: DataFrame) -> DataFrame:
     return items.join(names.select("entity").distinct(), "entity", "left_anti")
 
 
+def _surface(labels: Column, aliases: Column) -> Column:
+    """An item's surface forms as an array of (name, languages, is_alias), made within its row."""
+    none = F.array().cast("array<struct<is_alias:boolean,pos:int,at:int,name:string,lang:string,key:string>>")
+    form = lambda alias, pos, at, name, lang: F.struct(F.lit(alias).alias("is_alias"), pos.alias("pos"), at.alias("at"), name.alias("name"), lang.alias("lang"), F.lower(name).alias("key"))
+    label = F.transform(F.map_entries(labels), lambda e, i: form(False, i, F.lit(0), e["value"], e["key"]))
+    alias = F.flatten(F.transform(F.map_entries(aliases), lambda e, i: F.coalesce(F.transform(e["value"], lambda v, j: form(True, i, j, v, e["key"])), none)))
+    every = F.array_sort(F.filter(F.concat(F.coalesce(label, none), F.coalesce(alias, none)), lambda x: x["name"].isNotNull()))
+
+    def one(same: Column) -> Column:
+        first = same[0]
+        languages = F.transform(F.filter(same, lambda x: x["is_alias"] == first["is_alias"]), lambda x: x["lang"])
+        return F.struct(first["name"].alias("name"), languages.alias("languages"), first["is_alias"].alias("is_alias"))
+
+    # Sorted once: the first of a spelling names it.
+    held = lambda sorted_: F.transform(F.array_distinct(F.transform(sorted_, lambda x: x["key"])), lambda k: one(F.filter(sorted_, lambda x: x["key"] == k)))
+    return F.transform(F.array(every), held)[0]
+
+
+def _person(ner_type: Column, label: Column) -> Column:
+    """A person's dotted abbreviations as such an array."""
+    form = lambda name: F.struct(name.alias("name"), F.array(F.lit("en")).alias("languages"), F.lit(True).alias("is_alias"))
+    none = F.array().cast("array<struct<name:string,languages:array<string>,is_alias:boolean>>")
+    return F.when((ner_type == "PERS") & label.isNotNull(), F.transform(T.abbreviations(label), form)).otherwise(none)
+
+
+def _ner_type() -> Column:
+    return F.coalesce("ner_type", F.try_element_at("ner_types", F.lit(1)))
+
+
 def surface_forms(items: DataFrame) -> DataFrame:
     """(entity, name, languages, is_alias): spellings that differ by case are one, the first one; an alias that equals a
     label is left out.  Order is that of the maps."""
-    label = items.select("entity", F.posexplode(F.map_entries("labels")).alias("pos", "e")).select("entity", "pos", F.lit(0).alias("at"), F.col("e.value").alias("name"), F.col("e.key").alias("lang"), F.lit(False).alias("is_alias"))
-    alias = items.select("entity", F.posexplode(F.map_entries("aliases")).alias("pos", "e")).select("entity", "pos", F.col("e.key").alias("lang"), F.posexplode("e.value").alias("at", "name"))
-    every = label.unionByName(alias.withColumn("is_alias", F.lit(True)).select(*label.columns)).filter("name IS NOT NULL")
-    order = F.struct("pos", "at")
-    grouped = every.groupBy("entity", F.lower("name").alias("key")).agg(
-        F.min("is_alias").alias("is_alias"),
-        F.min(F.struct("is_alias", order.alias("order"), "name"))["name"].alias("name"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_alias"), F.struct(order.alias("order"), "lang")))).alias("as_label"),
-        F.sort_array(F.collect_list(F.when(F.col("is_alias"), F.struct(order.alias("order"), "lang")))).alias("as_alias"),
-    )
-    languages = F.transform(F.when(F.col("is_alias"), F.col("as_alias")).otherwise(F.col("as_label")), lambda x: x["lang"])
-    return grouped.select("entity", "name", languages.alias("languages"), "is_alias")
+    return items.select("entity", F.inline(_surface(F.col("labels"), F.col("aliases"))))
 
 
 def person_forms(items: DataFrame) -> DataFrame:
     """Dotted abbreviations of persons' English names, as aliases; the full name among them, whether it is indexed or not."""
-    people = items.filter((F.coalesce("ner_type", F.try_element_at("ner_types", F.lit(1))) == "PERS") & F.col("labels")["en"].isNotNull())
-    return people.select("entity", F.explode(T.abbreviations(F.col("labels")["en"])).alias("name"), F.array(F.lit("en")).alias("languages"), F.lit(True).alias("is_alias"))
+    return items.select("entity", F.inline(_person(_ner_type(), F.col("labels")["en"])))
 
 
 def names(items: DataFrame) -> DataFrame:
-    """One row a surface form, with the columns of its item that lookup filters by and returns."""
-    forms = surface_forms(items).unionByName(person_forms(items))
-    flat = items.withColumn("ner_type", F.coalesce("ner_type", F.try_element_at("ner_types", F.lit(1))))
+    """One row a surface form, with the columns of its item that lookup filters by and returns.
+
+    Forms are made in the rows of the items, which are dealt by entity, so that forms met twice are found without another shuffle.
+    """
+    flat = items.withColumn("ner_type", _ner_type())
     for c in ("explicit_types", "extended_types"):
         flat = flat.withColumn(c, F.array_compact(F.coalesce(c, F.array().cast("array<string>"))))
-    kept = with_popularity_norm(flat).select("entity", *ITEM_COLUMNS, "popularity_norm")
-    rows = forms.join(kept, "entity")
+    kept = with_popularity_norm(flat).repartition("entity")
+    forms = F.concat(_surface(F.col("labels"), F.col("aliases")), _person(F.col("ner_type"), F.col("labels")["en"]))
+    rows = kept.select("entity", *ITEM_COLUMNS, "popularity_norm", F.inline(forms))
     return rows.select(
         F.xxhash64("entity", "name", "is_alias").alias("doc_id"), "entity", "name", "languages", "is_alias", F.length("name").cast("long").alias("name_len"),
         F.size(F.split("name", " ")).cast("long").alias("n_token"), *ITEM_COLUMNS, "popularity_norm", F.array_join("explicit_types", " ").alias("types"),
-    ).dropDuplicates(["doc_id"])
+    ).dropDuplicates(["entity", "doc_id"])
 
 
 def postings(named: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len)."""
+    """(term, doc_id, tf, doc_len), counted within the row of a name."""
     words = named.select("doc_id", T.analysed(F.col("name")).alias("words"))
-    return words.select("doc_id", F.size("words").alias("doc_len"), F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+    each = words.select("doc_id", "words", F.explode(F.array_distinct("words")).alias("term"))
+    return each.select("term", "doc_id", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"), F.size("words").alias("doc_len"))
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:

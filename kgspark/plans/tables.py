@@ -36,14 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 GROUPED_AT_ONCE = 8 << 20
 
 
+def shares(df: DataFrame, at_once: int) -> int:
+    """How many parts hold ``at_once`` bytes of the input files each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(1, -(-sum(x for x in sizes if x < 1 << 60) // at_once))  # larger ones stand for an unknown size
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Before rows are grouped by ``keys`` or more: so many parts that a task's share does not grow with the input files.
 
     Grouping needs no further shuffle then.  Where the session's number of shuffle partitions is enough, nothing is done.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    parts = -(-sum(x for x in sizes if x < 1 << 60) // GROUPED_AT_ONCE)  # larger ones stand for an unknown size
+    parts = shares(df, GROUPED_AT_ONCE)
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 

@@ -39,6 +39,22 @@ def test_class_sets_from_roots(spark, rows):
     assert "collect_list" not in found._jdf.queryExecution().toString()
 
 
+def test_lookup_keeps_pairs_in_place(spark, monkeypatch):
+    """Names and postings are made within rows, and pairs of mention and name are not shuffled before they are ranked."""
+    labels = "entity string, description string, kind string, ner_type string, ner_types array<string>, explicit_types array<string>, extended_types array<string>, popularity long, labels map<string,string>, aliases map<string,array<string>>"
+    items = spark.createDataFrame([(f"Q{i}", "", "entity", "PERS" if i % 2 else "LOC", None, [f"T{i % 3}"], [], i, {"en": f"Blue Ring {i % 5}", "fr": f"BLUE ring {i % 5}"}, {"en": ["ring", f"Gear {i}"]}) for i in range(40)], labels)
+    assert "Exchange" not in names.surface_forms(items)._jdf.queryExecution().toString()
+    assert "Exchange" not in names.postings(spark.createDataFrame([(1, "a b A")], "doc_id long, name string"))._jdf.queryExecution().toString()
+    plans, write = [], lookup.written
+    monkeypatch.setattr(lookup, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    ix = lookup.stored(lookup.index(names.names(items)))
+    asked = lookup.mentions_of(spark.createDataFrame([("m", "blue ring"), ("n", "gear 7")], "mention_id string, name string"))
+    best = lookup.hits(asked, ix, 3, filters=lookup.Filters(ner_types=["LOC"], types=["T1"], soft=True)).orderBy("mention_id", "rank").collect()
+    plan = dict(plans)["hits"]
+    assert not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "doc_id" in x.split(")")[0] and "mention_id" in x.split(")")[0]]
+    assert [(r.mention_id, r.rank, r.entity) for r in best][:3] == [("m", 1, "Q34"), ("m", 2, "Q28"), ("m", 3, "Q22")]
+
+
 def claim(p, kind, value):
     return {"mainsnak": {"property": p, "datatype": kind, "datavalue": {"value": value}}}
 
